@@ -28,7 +28,7 @@ def person_features(persons: DataFrame, calls: DataFrame, transfers: DataFrame,
     by_call = calls.groupBy(F.col("caller").alias("person")).agg(
         F.round(F.count("*") / F.lit(window), 2).alias("calls_per_day"),
         F.count_distinct("receiver").cast("double").alias("unique_contacts"),
-        F.round(F.avg("duration"), 2).alias("average_call_duration"),
+        F.round(F.sum(F.col("duration").cast("decimal(18,4)")).cast("double") / F.count("duration"), 2).alias("average_call_duration"),
         F.count_if(F.hour("ts") < 5).cast("double").alias("night_calls"),
     )
     by_txn = transfers.groupBy(F.col("sender").alias("person")).agg(F.count("*").cast("double").alias("transaction_count"), F.round(F.sum(F.col("amount").cast("decimal(18,4)")).cast("double"), 2).alias("transaction_amount"))

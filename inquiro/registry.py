@@ -1,10 +1,5 @@
 """All queries over the given tables, and the SQL that says the same."""
 
-from __future__ import annotations
+from inquiro.plans.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
