@@ -2,10 +2,9 @@
 document that loses too much of its text is rejected.
 
 Rules of a line (first that fits is its reason):
-  symbols      over `symbol_share` of its words hold one of #*$%&|<> or the
-               line has that many such signs a word
-  shouting     over half of its words end in a doubled ! or ?
   navigation   three or more separators, or nothing but menu words
+  symbols      over `symbol_share` of its words hold one of #*$%&|<>
+  shouting     over half of its words end in a doubled ! or ?
   boilerplate  a phrase of licences, cookie notes, site furniture
   punctuation  fewer than `short` words and no closing punctuation
 Lines without a word are neither kept nor counted as loss.
@@ -42,13 +41,13 @@ _BOILERPLATE = re.compile(
 def line_reason(line: str, *, symbol_share: float = 0.3, short: int = 4) -> str | None:
     """Why a line with words fails, or None."""
     words = line.split()
+    if len(_SEPARATOR.findall(line)) >= 3 or all(w.strip(".,:>|").lower() in _MENU for w in words):
+        return "navigation"
     marked = sum(1 for w in words if _SYMBOL.search(w)) if _SYMBOL.search(line) else 0
     if marked > symbol_share * len(words):
         return "symbols"
     if len(_SHOUT.findall(line)) * 2 > len(words):
         return "shouting"
-    if len(_SEPARATOR.findall(line)) >= 3 or all(w.strip(".,:>|").lower() in _MENU for w in words):
-        return "navigation"
     if _BOILERPLATE.search(line):
         return "boilerplate"
     if len(words) < short and not _CLOSING.search(line):
