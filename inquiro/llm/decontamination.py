@@ -12,8 +12,8 @@ A benchmark item's own windows make the tables; a document window that meets
 one is a candidate. Every candidate is checked exactly: the least edit
 distance between the item and any stretch of the document around the
 window, in words, must be at most `radius` of the item's length. An
-item of fewer words than the least size is looked up by the hash of all its
-words instead.
+item too short to be sure of a picked start with a window inside it is also
+looked up by all its words; the least size serves short items only.
 
 The benchmark is read in chunks of CHUNK items, each broadcast, so its size
 is bounded; documents are never shuffled. A task holds slices of about 1 MB.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from inquiro.llm.common import as_bytes, share, shared, text_slices
 
-SIZES, REPEATS, SAMPLED, RUN, RADIUS, CHUNK = (8, 16, 32), 4, 7, 10, 0.2, 20_000
+SIZES, REPEATS, SAMPLED, RUN, RADIUS, CHUNK = (4, 8, 16, 32), 4, 7, 10, 0.2, 20_000
 _PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -145,12 +145,16 @@ class Items:
         for i, words in enumerate(self.words):
             if not words:
                 continue
-            if len(words) < walks.sizes[0]:
+            if len(words) < walks.run + walks.sizes[0] - 1:  # may hold no picked start
                 self.short[len(words)][tuple(words)].add(i)
+            if len(words) < walks.sizes[0]:
                 continue
+            needs_least = len(words) < walks.run + walks.sizes[1] - 1
             h = np.concatenate([np.array([hashes[w] for w in words], dtype=np.uint64), np.full(walks.pad, _PAD)])
             starts = np.union1d(walks.starts(h), [0])
             for k, keys in walks.keys(h, starts):
+                if k == 0 and not needs_least:
+                    continue
                 for s, key in zip(starts.tolist(), keys.tolist()):
                     if s + walks.sizes[k] <= len(words):
                         tables[k][key].add((i, s))
