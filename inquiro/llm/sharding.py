@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from inquiro.llm.common import materialize
 
 SHARDS, ROUNDS, SLACK, LINE_CHARS = 16, 4, 0.03, 24
-_WISHES, _EVEN, _SLOT_ROWS = 64, 4096, 20_000
+_WISHES, _EVEN, _SLOT_ROWS, _HOT_LINES = 64, 4096, 20_000, 1000
 
 
 def _units(docs: DataFrame, n_shards: int) -> DataFrame:
@@ -46,17 +46,24 @@ def _units(docs: DataFrame, n_shards: int) -> DataFrame:
 
 
 def line_links(docs: DataFrame, rows: DataFrame, line_chars: int) -> DataFrame:
-    """(unit, line, w): lines that two units or more hold, and a text's own
-    node where it has several pieces; w is what a unit's vote counts."""
+    """(unit, line, part, parts, w): lines that two units or more hold, and a
+    text's own node where it has several pieces; w is what a unit's vote
+    counts. A line with over 1/1000 of all links is dealt into parts by its
+    units' hashes, so joins on (line, part) spread it; there are at most 1000
+    such lines, and parts over one at most 1000 in all."""
     line = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(x) >= line_chars)
     grp = F.xxhash64("text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    of_text = docs.select(grp.alias("grp"), F.explode(F.array_distinct(F.transform(line, lambda x: F.xxhash64(x)))).alias("line")).distinct()
-    shared = of_text.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line", "n")
-    of_text = of_text.join(shared, "line")
+    of_text = materialize(docs.select(grp.alias("grp"), F.explode(F.array_distinct(F.transform(line, lambda x: F.xxhash64(x)))).alias("line")).distinct())
+    share = max(1, -(-of_text.count() // _HOT_LINES))
+    shared = materialize(of_text.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1"))
+    hot = F.broadcast(shared.filter(F.col("n") > share))  # at most _HOT_LINES rows
+    often = of_text.join(hot, "line")
+    rare = of_text.join(hot.select("line"), "line", "left_anti").join(shared.filter(F.col("n") <= share), "line")
     units = rows.select("grp", "unit").distinct()
     pieces = units.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
-    by_line = of_text.join(units, "grp").select("unit", "line", (1.0 / F.log2(F.col("n") + 1)).alias("w"))
-    by_piece = units.join(pieces, "grp").select("unit", F.col("grp").alias("line"), F.lit(4.0).alias("w"))
+    parts = F.ceil(F.col("n") / share).cast("int")
+    by_line = often.unionByName(rare).join(units, "grp").select("unit", "line", F.pmod(F.hash("unit"), parts).alias("part"), parts.alias("parts"), (1.0 / F.log2(F.col("n") + 1)).alias("w"))
+    by_piece = units.join(pieces, "grp").select("unit", F.col("grp").alias("line"), F.lit(0).alias("part"), F.lit(1).alias("parts"), F.lit(4.0).alias("w"))
     return by_line.unionByName(by_piece)
 
 
@@ -85,9 +92,10 @@ def propagate(units: DataFrame, links: DataFrame, n_shards: int, rounds: int, sl
     total = state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     capacity = (1 + slack) * total / n_shards
     for k in range(rounds):
-        votes = links.join(state, "unit").groupBy("line", "shard").agg(F.sum(F.col("w") * F.log2(F.col("size") + 1)).alias("v"))
-        best = votes.groupBy("line").agg(F.max_by("shard", F.struct("v", "shard")).alias("shard"))
-        wish = links.join(best, "line").groupBy("unit", "shard").agg(F.sum("w").alias("v")).groupBy("unit").agg(F.max_by("shard", F.struct("v", "shard")).alias("to"))
+        votes = links.join(state, "unit").groupBy("line", "shard").agg(F.sum(F.col("w") * F.log2(F.col("size") + 1)).alias("v"), F.max("parts").alias("parts"))
+        best = votes.groupBy("line").agg(F.max_by("shard", F.struct("v", "shard")).alias("shard"), F.max("parts").alias("parts"))
+        best = best.select("line", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        wish = links.join(best, ["line", "part"]).groupBy("unit", "shard").agg(F.sum("w").alias("v")).groupBy("unit").agg(F.max_by("shard", F.struct("v", "shard")).alias("to"))
         bucket = F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(_WISHES)).cast("int")
         wishes = materialize(state.join(wish, "unit").filter("to <> shard").select("unit", "size", F.col("shard").alias("from"), "to", bucket.alias("bucket")))
         moves, loads = np.zeros((n_shards, n_shards, _WISHES)), np.zeros(n_shards)
