@@ -38,10 +38,13 @@ def gazetteer_hits(docs: DataFrame, names: DataFrame, max_words: int = 5) -> Dat
     word bounds: word n-grams meet the names by an equi-join on the lower key."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}#_&'-]+"), lambda x: x != "")
     listed = docs.select("doc_id", words.alias("w"))
-    grams = [
-        listed.filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")))).alias("gram"))
-        for n in range(1, max_words + 1)
-    ]
+
+    def of_length(n: int) -> DataFrame:
+        places = F.sequence(F.lit(1), F.size("w") - n + 1)
+        gram = F.transform(places, lambda i: F.array_join(F.slice("w", i, n), " "))
+        return listed.filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(gram)).alias("gram"))
+
+    grams = [of_length(n) for n in range(1, max_words + 1)]
     all_ = grams[0]
     for g in grams[1:]:
         all_ = all_.unionByName(g)
@@ -49,9 +52,10 @@ def gazetteer_hits(docs: DataFrame, names: DataFrame, max_words: int = 5) -> Dat
     return all_.join(keyed, "gram").select("doc_id", "type", "name").distinct()
 
 
-def extract_spans(docs: DataFrame, names: list[tuple[str, str]] = (), cap: int = 200_000) -> DataFrame:
+def extract_spans(docs: DataFrame, names: list[tuple[str, str]] = (), cap: int | None = None) -> DataFrame:
     """Spans of each text after overlap resolution: the lower priority, then
-    the longer, wins; numbered in order of place."""
+    the longer, wins; numbered in order of place. Whole texts are read unless
+    a cap on their characters is given."""
     patterns = [(k, re.compile(p), c, pr) for k, p, c, pr in PATTERNS]
     listed = [(t, re.compile(r"(?i)(?<!\w)" + r"\s+".join(map(re.escape, n.split())) + r"(?!\w)"), GAZETTEER_CONFIDENCE[t], 2) for t, n in names]
 

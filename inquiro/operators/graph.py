@@ -44,12 +44,13 @@ def pagerank(nodes: DataFrame, adj: DataFrame, *, damping: float = 0.85, rounds:
     n = max(1, nodes.count())
     moves = _saved(adj.join(deg.select(F.col("id").alias("a"), "degree"), "a"))
     ranks = _saved(deg.select("id", "degree", F.lit(1.0 / n).alias("r")))
-    for k in range(rounds):
-        dangling = ranks.filter("degree = 0").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+    idle = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("r"))), F.lit(0.0))
+    dangling = ranks.agg(idle).first()[0]
+    for _ in range(rounds):
         given = moves.join(ranks.select(F.col("id").alias("a"), "r"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
         new = ranks.select("id", "degree", F.col("r").alias("old")).join(given, "id", "left").select("id", "degree", "old", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(dangling / n))).alias("r"))
         new = _saved(new)
-        shift = new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
+        shift, dangling = new.agg(F.coalesce(F.sum(F.abs(F.col("r") - F.col("old"))), F.lit(0.0)), idle).first()
         ranks = new.select("id", "degree", "r")
         if shift < tolerance:
             break

@@ -56,6 +56,28 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(t)
 
 
+def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a report for each order, with a date, a phone, a place,
+    an account and a plate."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    phone = F.concat(F.when(k % 2 == 0, "+91").otherwise(""), (k + 9000000000).cast("string"))
+    account = F.concat(F.lit("ACC"), F.lpad((c % 1000000).cast("string"), 6, "0"))
+    plate = F.concat(F.lit("DL"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("AB"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    text = F.format_string("On %s a caller on %s near NATION_%d paid from %s and left in %s.", F.date_format("o_orderdate", "yyyy-MM-dd"), phone, c % 25, account, plate)
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))
+
+
+def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw call records as a file holds them: every 50th caller is no phone,
+    every 70th timestamp is missing."""
+    e, i = _events(spark, sf_dir).filter("event_type <> 'purchase'"), F.col("event_id")
+    number = lambda x: (x + 9000000000).cast("string")
+    return e.select(
+        F.concat(F.lit("CDR_"), i.cast("string")).alias("cdr_id"), F.when(i % 50 == 0, "12345").otherwise(number(F.substring("person", 2, 12).cast("bigint"))).alias("caller"), number(F.col("k")).alias("receiver"),
+        F.when(i % 70 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"), F.floor(F.abs("value")).cast("string").alias("duration"),
+    )
+
+
 #: The same views in DuckDB's SQL, as a WITH list.
 SQL = """
 ev AS (SELECT event_id, ts, event_type, value, concat('U', user_id) AS person, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),

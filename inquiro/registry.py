@@ -1,5 +1,6 @@
 """All queries over the given tables, and the SQL that says the same."""
 
+from inquiro.plans import reads  # noqa: F401  (adds its queries)
 from inquiro.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

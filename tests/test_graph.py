@@ -36,3 +36,15 @@ def test_spans_do_not_overlap(spark):
     got = extract.extract_spans(docs, [("PERSON", "rahul sharma")]).orderBy("start").collect()
     assert [r.type for r in got] == ["PERSON", "PHONE", "DATE", "VEHICLE", "ACCOUNT"]
     assert {(r.type, r.value) for r in extract.extract_values(docs).collect()} >= {("PHONE", "+919876543210"), ("ACCOUNT", "ACC001")}
+
+
+def test_gazetteer_names_of_several_words(spark):
+    docs = spark.createDataFrame([(1, "Rahul  Sharma met Anil in New Delhi."), (2, "rahul verma"), (3, None), (4, "")], "doc_id long, text string")
+    names = spark.createDataFrame([("PERSON", "Rahul Sharma"), ("LOCATION", "New Delhi"), ("PERSON", "Anil")], "type string, name string")
+    got = {tuple(r) for r in extract.gazetteer_hits(docs, names).collect()}
+    assert got == {(1, "PERSON", "Rahul Sharma"), (1, "LOCATION", "New Delhi"), (1, "PERSON", "Anil")}
+
+
+def test_spans_read_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "x " * 150_000 + "+919876543210")], "doc_id long, text string")
+    assert extract.extract_spans(docs).first().start == 300_000
