@@ -2,7 +2,9 @@
 
 A text's terms are its lower-cased words without punctuation at their ends
 and the words' first 4 and 6 bytes (so an inflected insult is seen by its
-stem), each hashed and counted once. Training takes at most MAX_TRAIN
+stem), each hashed and counted once. Where two or three different words share
+a prefix that is a term too: one word with an insult's stem may be chance,
+several are not. Training takes at most MAX_TRAIN
 labelled rows, those with the least hashed ids. Spark counts in how many
 toxic and other rows a bucket occurs; the MAX_TERMS buckets that point most
 to toxic rows (log likelihood ratio) are the machine's features. It sums a
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -35,6 +38,7 @@ MAX_TRAIN, MAX_TERMS, BUCKETS = 20_000, 1024, 1 << 20
 MIN_RATIO, MIN_ODDS = 15.0, 4.0  # a term below either says too little
 FACTORS, STEPS, RATE, DECAY, BATCH = 8, 3000, 0.3, 1e-5, 128
 PREFIXES = (4, 6)
+LEVELS = (2, 3)  # different words of a text with one prefix
 THRESHOLD = 0.7
 _EDGES = b".,;:!?\"'()[]{}<>%&$#*|-_/\\`~"
 
@@ -46,6 +50,11 @@ def word_terms(word: bytes) -> tuple[int, ...]:
     return (zlib.crc32(word) % BUCKETS, *(zlib.crc32(b"\0%d" % k + word[:k]) % BUCKETS for k in PREFIXES if len(word) >= k))
 
 
+def level_term(bucket: int, level: int) -> int:
+    """The bucket that says: `level` different words share this prefix."""
+    return zlib.crc32(b"\1%d,%d" % (level, bucket)) % BUCKETS
+
+
 class Terms:
     """Buckets of a text's terms, mapped by `index` if one is given; holds
     the words seen of late."""
@@ -53,16 +62,26 @@ class Terms:
     def __init__(self, index: dict[int, int] | None = None, most: int = 400_000):
         self.index, self.most, self.seen = index, most, {}
 
+    def _of_word(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The word's features, and its prefixes that have levels."""
+        t = word_terms(word)
+        if self.index is None:
+            return t, t[1:]
+        return tuple(self.index[b] for b in t if b in self.index), tuple(b for b in t[1:] if any(level_term(b, k) in self.index for k in LEVELS))
+
     def __call__(self, text: bytes) -> set[int]:
         if len(self.seen) > self.most:
             self.seen = {}
-        words = set(text.lower().split())
+        words = {w.strip(_EDGES) for w in set(text.lower().split())}
         for w in words:
-            if w in self.seen:
-                continue
-            t = word_terms(w)
-            self.seen[w] = t if self.index is None else tuple(self.index[b] for b in t if b in self.index)
-        return set(chain.from_iterable(map(self.seen.__getitem__, words)))
+            if w not in self.seen:
+                self.seen[w] = self._of_word(w)
+        mine = [self.seen[w] for w in words]
+        found = set(chain.from_iterable(x[0] for x in mine))
+        for b, n in Counter(chain.from_iterable(x[1] for x in mine)).items():
+            levels = [level_term(b, k) for k in LEVELS if n >= k]
+            found.update(levels if self.index is None else (self.index[x] for x in levels if x in self.index))
+        return found
 
 
 @dataclass

@@ -200,3 +200,12 @@ def test_chat_template(spark):
         chat_template.compile_template("{{ messages.__class__ }}")
     tree = chat_template.fold_block(chat_template.parse('a{% if "x" == "x" %}b{{ "c" + "d" | upper }}{% else %}no{% endif %}'))
     assert [n.value for n in tree] == ["abcD"]
+
+
+def test_prefix_levels_count_different_words():
+    bucket = toxicity.word_terms(b"abcdxx")[1]
+    terms = toxicity.Terms()
+    two, three = (toxicity.level_term(bucket, k) for k in toxicity.LEVELS)
+    assert two not in terms(b"abcdxx abcdxx, ABCDXX!") and two in terms(b"abcdxx abcdyy")
+    assert three not in terms(b"abcdxx abcdyy") and three in terms(b"abcdxx abcdyy abcdzz")
+    assert toxicity.Terms({two: 7})(b"abcdxx. abcdyy abcdzz") == {7}
