@@ -142,11 +142,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
 def one_per_group(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that stand for their group: those with
     the least doc_id. Repeated rows of that id are one document; rows of one
-    id whose fingerprints differ stand for themselves in their groups."""
+    id whose fingerprints differ stand for themselves in their groups.
+
+    Heads grow with the documents, so they are never broadcast: at every size
+    texts are dealt by id once and meet a hash table of ids, unsorted."""
     judged = materialize(near_duplicates(docs, shingle=shingle, radius=radius).select("doc_id", "fp", "component_id"))
     heads = judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     heads = materialize(heads)
-    single = docs.join(heads.filter("n = 1 and doc_id is not null").select(F.col("doc_id").alias("_head")), F.col("doc_id") == F.col("_head"), "left_semi")
+    single = docs.join(heads.filter("n = 1 and doc_id is not null").select(F.col("doc_id").alias("_head")).hint("shuffle_hash"), F.col("doc_id") == F.col("_head"), "left_semi")
     often = judged.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if often.limit(1).count() == 0:
         return single
@@ -157,7 +160,7 @@ def one_per_group(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADI
     wanted = judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
     kept = kept.join(wanted, kept.doc_id.eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi").select(*[F.col(f"_of_{c}").alias(c) for c in docs.columns])
     once = docs.join(often.select(F.col("doc_id").alias("_often")), F.col("doc_id").eqNullSafe(F.col("_often")), "left_anti")
-    return once.join(heads.select(F.col("doc_id").alias("_head")), F.col("doc_id") == F.col("_head"), "left_semi").unionByName(kept)
+    return once.join(heads.select(F.col("doc_id").alias("_head")).hint("shuffle_hash"), F.col("doc_id") == F.col("_head"), "left_semi").unionByName(kept)
 
 
 def _with_fingerprint(rows: DataFrame, shingle: int) -> DataFrame:
