@@ -23,24 +23,19 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inquiro.llm.common import as_bytes, materialize, text_slices
 from inquiro.llm.components import components
+from inquiro.llm.near_copies import forest, near_copies, shingle_hashes, with_set_name
+from inquiro.llm.near_copies import SHINGLE as STAGE_SHINGLE
+from inquiro.llm.near_copies import SIMILARITY as STAGE_SIMILARITY
 
-SHINGLE, RADIUS, SEED, TILE = 3, 2, 42, 1024
+SHINGLE, RADIUS, TILE = 3, 2, 1024
 _BLOCK = 1 << 17  # shingles whose bits are counted at once
 
 
-def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
-    """XXH64 of each shingle, repeats included."""
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(b" ".join(words), seed=SEED)] if words else []
-    return [xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), seed=SEED) for i in range(len(words) - size + 1)]
-
-
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The fingerprint of each run of `sizes` hashes."""
     votes = np.zeros((len(sizes), 64), dtype=np.int64)
@@ -90,18 +85,7 @@ def tile_forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) ->
         return left[:0], left[:0]
     nodes = left if same else np.concatenate([left, right])
     j = j if same else j + len(left)
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    linked = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[linked], nodes[label[linked]]
+    return forest(nodes, i, j)
 
 
 def tiled_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -139,14 +123,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     return signed.join(of_node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-def one_per_group(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, that stand for their group: those with
-    the least doc_id. Repeated rows of that id are one document; rows of one
-    id whose fingerprints differ stand for themselves in their groups.
+def one_per_group(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group of
+    near_copies(): those with the least doc_id. Repeated rows of that id are
+    one document; rows of one id whose shingle sets differ stand for
+    themselves in their groups.
 
     Heads grow with the documents, so they are never broadcast: at every size
     texts are dealt by id once and meet a hash table of ids, unsorted."""
-    judged = materialize(near_duplicates(docs, shingle=shingle, radius=radius).select("doc_id", "fp", "component_id"))
+    judged = materialize(near_copies(docs, shingle=shingle, similarity=similarity).select("doc_id", "fp", "component_id"))
     heads = judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     heads = materialize(heads)
     single = docs.join(heads.filter("n = 1 and doc_id is not null").select(F.col("doc_id").alias("_head")).hint("shuffle_hash"), F.col("doc_id") == F.col("_head"), "left_semi")
@@ -156,20 +141,8 @@ def one_per_group(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADI
     often = materialize(often.select("doc_id"))
     rows = docs.join(often.select(F.col("doc_id").alias("_often")), F.col("doc_id").eqNullSafe(F.col("_often")), "left_semi")
     signed = rows.select(*[F.col(c).alias(f"_of_{c}") for c in docs.columns], "doc_id", "text")
-    kept = _with_fingerprint(signed, shingle).dropDuplicates(["doc_id", "fp"])
+    kept = with_set_name(signed, shingle).dropDuplicates(["doc_id", "fp"])
     wanted = judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
     kept = kept.join(wanted, kept.doc_id.eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi").select(*[F.col(f"_of_{c}").alias(c) for c in docs.columns])
     once = docs.join(often.select(F.col("doc_id").alias("_often")), F.col("doc_id").eqNullSafe(F.col("_often")), "left_anti")
     return once.join(heads.select(F.col("doc_id").alias("_head")).hint("shuffle_hash"), F.col("doc_id") == F.col("_head"), "left_semi").unionByName(kept)
-
-
-def _with_fingerprint(rows: DataFrame, shingle: int) -> DataFrame:
-    def sign(batches):
-        for batch in text_slices(batches, limit=2 << 20):
-            each = [shingle_hashes(t.lower().split(), shingle) for t in as_bytes(batch)]
-            sizes = np.array([len(x) for x in each], dtype=np.int64)
-            fp = majority(np.array([h for x in each for h in x], dtype="<u8"), sizes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, "fp"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(sign, schema + ", fp long")
