@@ -8,7 +8,11 @@ A url without a rule is blocked if its host's distrust exceeds its trust and
 is at least `floor` times an even share; else it is allowed.
 
 Host edges: links to an absolute url of another host, and, both ways, a host
-and its parent domain if that serves pages too. Everything is DataFrame work:
+and its parent domain, that and its own parent and so on down to the
+registrable domain (two labels, or three under a country's co, com, ac ...;
+there is no list of public suffixes here). Domains between are nodes whether
+or not they serve pages, so siblings meet in them; an address with a port is
+a child of the one without. Everything is DataFrame work:
 edges and seeds are summed before each shuffle, so a host with a third of all
 pages is one row of the graph. Mass at a host without edges ends there.
 
@@ -28,6 +32,8 @@ from inquiro.llm.common import lower_az, materialize
 #: (verdict, rule): a rule is a host, then a path prefix from its first /.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: A host name, not an IP address; and one under a country's second level.
+_DOMAIN, _COUNTRY = r"^[^.:]+(\.[^.:]+)*\.[^.:0-9]+[^.:]*$", r"\.(ac|co|com|edu|go|gob|gov|gouv|mil|ne|net|or|org)\.[a-z]{2}$"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 
 
@@ -46,8 +52,22 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+def family_edges(hosts: DataFrame) -> DataFrame:
+    """(src, dst): each host and domain above it with its parent, both ways."""
+    bare = F.regexp_replace("host", r"^.*@|:[0-9]*$", "")
+    chain = hosts.select("host", bare.alias("bare"), F.split(bare, r"\.").alias("labels")).select(
+        "host", "bare", F.when(F.col("bare").rlike(_DOMAIN), F.size("labels") - F.when(F.col("bare").rlike(_COUNTRY), 3).otherwise(2)).otherwise(0).alias("above"), "labels"
+    )
+    domain = "array_join(slice(labels, {0} + 1, size(labels)), '.')"
+    steps = chain.filter("above > 0").selectExpr("labels", "explode(sequence(1, above)) as i").selectExpr(f"{domain.format('(i - 1)')} as src", f"{domain.format('i')} as dst")
+    up = steps.unionByName(chain.filter("host != bare and bare != ''").selectExpr("host as src", "bare as dst")).distinct()
+    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, w): links between hosts that serve pages, summed."""
+    """(src, dst, w): links between hosts and domains above them, summed."""
+    family = materialize(family_edges(hosts))
+    nodes = hosts.select(F.col("host").alias("dst")).unionByName(family.select("dst")).distinct()
     host, _ = url_parts(F.col("url"))
     links = (
         pages.filter(F.col("html").contains("//"))
@@ -56,11 +76,9 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
         .filter(F.col("src") != F.col("dst"))
         .groupBy("src", "dst")
         .agg(F.count("*").alias("w"))
-        .join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
+        .join(nodes, "dst", "left_semi")
     )
-    up = hosts.select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst")).filter("src != dst").join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
-    family = up.select("src", "dst").unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1).cast("long"))
-    return links.select("src", "dst", "w").unionByName(family).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return links.select("src", "dst", "w").unionByName(family.withColumn("w", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 24, block: int = 4, tolerance: float = 1e-4) -> DataFrame:
@@ -119,7 +137,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, floor:
         ruled.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("b"))
         .select("host", F.when(2 * F.col("a") > F.col("n"), F.col("a")).otherwise(0).alias("trusted"), F.when(2 * F.col("b") > F.col("n"), F.col("b")).otherwise(0).alias("blocked"))
     )
-    scores = propagate(hosts, materialize(host_edges(pages.select("url", "html"), hosts)), damping=damping, rounds=rounds)
-    even = F.lit(floor / max(1, hosts.count()))
+    edges = materialize(host_edges(pages.select("url", "html"), hosts))
+    scores = propagate(hosts, edges, damping=damping, rounds=rounds)
+    even = F.lit(floor / max(1, hosts.select("host").union(edges.select("dst")).distinct().count()))
     verdict = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= even), "block").otherwise("allow")
     return ruled.join(scores.select("host", "trust", "distrust", verdict.alias("by_links")), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", "by_links").alias("verdict"), "trust", "distrust")
