@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_EDGES = 2_000_000  # adjacency above this is not sent to the tasks
-
+from inquiro.operators import stars
+from inquiro.storage import materialize
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: written to the shared checkpoint
-    folder where one is set, else checkpointed in a temporary one."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BROADCAST_EDGES = 2_000_000  # adjacency above this is not sent to the tasks
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -42,14 +28,14 @@ def pagerank(nodes: DataFrame, adj: DataFrame, *, damping: float = 0.85, rounds:
     in all; nodes without edges spread their rank evenly."""
     deg = degrees(nodes, adj)
     n = max(1, nodes.count())
-    moves = _saved(adj.join(deg.select(F.col("id").alias("a"), "degree"), "a"))
-    ranks = _saved(deg.select("id", "degree", F.lit(1.0 / n).alias("r")))
+    moves = materialize(adj.join(deg.select(F.col("id").alias("a"), "degree"), "a"))
+    ranks = materialize(deg.select("id", "degree", F.lit(1.0 / n).alias("r")))
     idle = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("r"))), F.lit(0.0))
     dangling = ranks.agg(idle).first()[0]
     for _ in range(rounds):
         given = moves.join(ranks.select(F.col("id").alias("a"), "r"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
         new = ranks.select("id", "degree", F.col("r").alias("old")).join(given, "id", "left").select("id", "degree", "old", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(dangling / n))).alias("r"))
-        new = _saved(new)
+        new = materialize(new)
         shift, dangling = new.agg(F.coalesce(F.sum(F.abs(F.col("r") - F.col("old"))), F.lit(0.0)), idle).first()
         ranks = new.select("id", "degree", "r")
         if shift < tolerance:
@@ -73,23 +59,15 @@ def neighborhood(edges: DataFrame, start: str, depth: int, types: list[str] | No
     front = seen
     for hop in range(1, depth + 1):
         front = both.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("dist", F.lit(hop))
-        front = _saved(front)
+        front = materialize(front)
         seen = seen.unionByName(front)
     return seen
 
 
 def components(adj: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable, by labels that jump along
-    their own labels each round."""
-    label = _saved(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        low = adj.join(label.select(F.col("id").alias("a"), "component"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("low"))
-        hooked = label.join(low, "id", "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("new"))
-        jumped = hooked.alias("h").join(label.select(F.col("id").alias("new"), F.col("component").alias("next")), "new").select("id", F.col("component").alias("old"), F.least("new", "next").alias("component"))
-        jumped = _saved(jumped)
-        label = jumped.select("id", "component")
-        if jumped.filter("old <> component").limit(1).count() == 0:
-            return label
+    """(id, component): the least id reachable; isolates are their own."""
+    roots = stars.components(adj).withColumnRenamed("node", "id")
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def betweenness(nodes: DataFrame, adj: DataFrame, *, max_edges: int = BROADCAST_EDGES) -> DataFrame:
@@ -173,7 +151,7 @@ def communities(nodes: DataFrame, adj: DataFrame, *, passes: int = 10) -> DataFr
         return pd.DataFrame({"id": names, "first": [first[c] for c in own]})
 
     rows = comp.select(F.col("id").alias("a"), "component").join(adj, "a", "left")
-    placed = _saved(rows.groupBy("component").applyInPandas(sweep, "id string, first string"))
+    placed = materialize(rows.groupBy("component").applyInPandas(sweep, "id string, first string"))
     firsts = placed.select("first").distinct().orderBy("first")
     number = firsts.selectExpr("first", "row_number() over (order by first) - 1 as community")
     return placed.join(number, "first").select("id", F.col("community").cast("long").alias("community"))
