@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,12 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
+
+from inquiro.storage import materialize
+
+__all__ = ["WORD", "arrow_type", "as_bytes", "lower_az", "materialize", "remainder_of_id", "share", "shared", "table", "text_slices"]
 
 #: A word is a run of bytes other than ASCII space and the controls 9 to 13;
 #: that is also how bytes.split() divides.
@@ -24,27 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent (tests on one machine) a temporary folder
-    takes its place for the rest of the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df into the shared folder and read it back: the lineage ends
-    there, a lost executor costs no recomputation, and several readers
-    share one run."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def arrow_type(kind: DataType) -> pa.DataType:
+    """The Arrow type that Spark gives a column of this type."""
+    return to_arrow_type(kind)
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:

@@ -4,19 +4,29 @@ Texts become lower-cased words without ASCII punctuation. The walk of
 Chakraborty, Goldenberg and Koucky reads a word sequence with a pointer: at
 step j it emits the word under the pointer and moves on if a random bit of
 (j, word) says so, so sequences at a small edit distance walk in step again
-after an edit and their walks differ in few places. A window starts at a
-word whose hash is the least of some run of RUN words (the same words are
-picked in a passage wherever it stands) and is read at the sizes SIZES; of
-its walk, SAMPLED coordinates in each of REPEATS repetitions make a hash key.
-A benchmark item's own windows make the tables; a document window that meets
-one is a candidate. Every candidate is checked exactly: the least edit
-distance between the item and any stretch of the document around the
-window, in words, must be at most `radius` of the item's length. An
-item too short to be sure of a picked start with a window inside it is also
-looked up by all its words; the least size serves short items only.
-
-The benchmark is read in chunks of CHUNK items, each broadcast, so its size
-is bounded; documents are never shuffled. A task holds slices of about 1 MB.
+after an edit and their walks differ in few places. Windows are item-sized: an
+item of n words is looked up by windows of n words. One of more than WINDOW
+words is cut into p nearly equal pieces of at most WINDOW; of the k edits
+that the radius allows, some piece has at most k / p. Each repetition walks
+with coins of its own and samples SAMPLED coordinates of the walk; a document
+window that agrees on them with an item's is a candidate. The number of
+repetitions of each window size comes from TARGET: it is the least at which
+simulated copies with that size's allowance of random edits are found that
+often, an edit being a replaced, added or lost word (see repeats_for).
+Every candidate is checked exactly: the least edit distance between the item
+and any stretch of the document around the window, in words, must be at most
+`radius` of the item's length.
+
+Windows start at every word, but a start is walked only if what follows can
+hold a match at all: k edits leave n - 1 - 2k of an item's word pairs whole,
+so that many pairs known from the benchmark must lie within n + k words (or,
+where that number is not positive, n - k known words). That test loses nothing.
+
+The benchmark is read in chunks of CHUNK items or CHUNK_BYTES of text, each
+broadcast; where there are several, each pass over the documents is written
+before the next and its broadcast destroyed, so one chunk is held at a time
+and time grows with the number of chunks. Documents are never shuffled. A
+task holds slices of about 4 MB.
 
 Defined cases: null or wordless texts and items match nothing; null ids and
 repeated rows or items are reported like others; an empty table gives no
@@ -26,17 +36,19 @@ rows; other columns are not read by the report and stay in drop_leaks().
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from inquiro.llm.common import as_bytes, share, shared, text_slices
+from inquiro.llm.common import arrow_type, as_bytes, materialize, share, shared, text_slices
 
-SIZES, REPEATS, SAMPLED, RUN, RADIUS, CHUNK = (4, 8, 16, 32), 4, 7, 10, 0.2, 20_000
+WINDOW, SAMPLED, STEPS_A_WORD, TARGET, MAX_REPEATS, RADIUS, CHUNK, CHUNK_BYTES = 64, 2, 1.4, 0.98, 64, 0.2, 20_000, 16 << 20
 _PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = 1 << 15  # starts walked at once
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -52,58 +64,66 @@ class WordHashes(dict):
         return h
 
 
-@dataclass
-class Walks:
-    """The random choices of all walks: constants of the repetitions, sampled
-    coordinates and mixing factors."""
-
-    sizes: tuple[int, ...] = SIZES
-    repeats: int = REPEATS
-    sampled: int = SAMPLED
-    run: int = RUN
-    seed: int = 7
-
-    def __post_init__(self):
-        rng = np.random.default_rng(self.seed)
-        self.steps = [round(1.4 * n) for n in self.sizes]
-        self.pad = max(*self.steps, self.run)
-        self.salts = rng.integers(1, 1 << 62, self.repeats, dtype=np.uint64) | np.uint64(1)
-        self.coordinates = [[sorted(rng.choice(t, min(self.sampled, t), replace=False).tolist()) for t in self.steps] for _ in range(self.repeats)]
-        self.factors = rng.integers(1, 1 << 62, (len(self.sizes), self.sampled), dtype=np.uint64) | np.uint64(1)
-
-    def starts(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of the words that are the least of a run of `run` words."""
-        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes >> np.uint64(29))
-        mixed[hashes == _PAD] = _PAD
-        n = self.run
-        least = _sliding(np.concatenate([mixed, np.full(n - 1, _PAD)]), n, np.minimum)
-        most = _sliding(np.concatenate([np.zeros(n - 1, np.uint64), least]), n, np.maximum)
-        return np.flatnonzero((most == mixed) & (hashes != _PAD))
-
-    def keys(self, hashes: np.ndarray, starts: np.ndarray):
-        """Yields (size index, key of each window) for each repetition.
-        hashes must end in `pad` padding words."""
-        for r in range(self.repeats):
-            coins = (hashes ^ (hashes >> np.uint64(31))) * self.salts[r]
-            pointer = starts.copy()
-            sums = [np.full(len(starts), np.uint64(r * 131 + k)) for k in range(len(self.sizes))]
-            for j in range(max(self.steps)):
-                said = None
-                for k, own in enumerate(self.coordinates[r]):
-                    if j in own:
-                        said = hashes[pointer] if said is None else said
-                        sums[k] += said * self.factors[k, own.index(j)]
-                pointer += (coins[pointer] >> np.uint64(63 - j) & np.uint64(1)).astype(np.int64)
-            yield from ((k, s ^ (s >> np.uint64(29))) for k, s in enumerate(sums))
-
-
-def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
-    """best over each n neighbours, by doubling."""
-    out, width = x, 1
-    while 2 * width <= n:
-        out = best(out[:-width], out[width:])
-        width *= 2
-    return best(out[: len(x) - n + 1], out[n - width : n - width + len(x) - n + 1])
+def steps_of(size: int) -> int:
+    return max(SAMPLED, round(STEPS_A_WORD * size))
+
+
+def pointers(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, repeat: int) -> np.ndarray:
+    """(steps, starts): how far each walk of one repetition has come. Past
+    its end a walk stands on words[ends]."""
+    coins = words * (np.random.default_rng(repeat).integers(1, 1 << 62, dtype=np.uint64) | np.uint64(1))
+    coins ^= coins >> np.uint64(29)
+    out, at = np.zeros((steps, len(starts)), dtype=np.int32), starts.copy()
+    for j in range(steps):
+        out[j] = at - starts
+        moves = coins[at] * np.uint64((2 * j + 1) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> np.uint64(63)
+        at = np.minimum(at + moves.astype(np.int64), ends)
+    return out
+
+
+def window_keys(words: np.ndarray, starts: np.ndarray, walked: np.ndarray, size: int, repeat: int) -> np.ndarray:
+    """The key of each start's window of `size` words in one repetition."""
+    rng = np.random.default_rng((size, repeat))
+    key = np.full(len(starts), np.uint64(size << 8 | repeat))
+    for j in sorted(rng.choice(steps_of(size), SAMPLED, replace=False).tolist()):
+        said = np.where(walked[j] < size, words[starts + walked[j]], _PAD)
+        key = (key ^ said) * (rng.integers(1, 1 << 62, dtype=np.uint64) | np.uint64(1))
+        key ^= key >> np.uint64(31)
+    return key
+
+
+def edited(words: list, edits: int, rng: np.random.Generator, fresh) -> list:
+    """A copy with random words replaced, added or lost, one an edit."""
+    out = list(words)
+    for kind, at in zip(rng.integers(0, 3, edits), rng.random(edits)):
+        k = int(at * len(out))
+        out[k : k + (kind != 1)] = [] if kind == 2 and len(out) > 1 else [fresh()]
+    return out
+
+
+@lru_cache(maxsize=None)
+def repeats_for(size: int, edits: int, target: float, copies: int = 300) -> int:
+    """Repetitions that find `target` of simulated copies of windows of
+    `size` different words after `edits` random edits, MAX_REPEATS at most."""
+    if not edits:
+        return 1
+    rng = np.random.default_rng(size)
+    fresh = lambda: int(rng.integers(1, 1 << 62))
+    pairs, width = [], 2 * size + 2
+    for _ in range(copies):
+        item = [fresh() for _ in range(size)]
+        pairs += [item, (edited(item, edits, rng, fresh) + [fresh() for _ in range(size)])[:size]]
+    words = np.full((len(pairs), width), _PAD)
+    for row, p in zip(words, pairs):
+        row[: len(p)] = p
+    starts = np.arange(len(pairs)) * width
+    found = np.zeros(copies, dtype=bool)
+    for r in range(MAX_REPEATS):
+        keys = window_keys(words.ravel(), starts, pointers(words.ravel(), starts, starts + width - 1, steps_of(size), r), size, r)
+        found |= keys[::2] == keys[1::2]
+        if found.mean() >= target:
+            return r + 1
+    return MAX_REPEATS
 
 
 def nearest_distance(item: list[bytes], text: list[bytes], masks: dict[bytes, int]) -> int:
@@ -131,40 +151,56 @@ def nearest_distance(item: list[bytes], text: list[bytes], masks: dict[bytes, in
     return best
 
 
+class KnownKeys:
+    """Whether a hash may be among the given ones: a table of flags of 16
+    places a hash."""
+
+    def __init__(self, keys: list[int]):
+        bits = max(12, (16 * len(keys)).bit_length())
+        self.shift, self.flags = np.uint64(64 - bits), np.zeros(1 << bits, dtype=bool)
+        self.flags[np.array(keys, dtype=np.uint64) * _SPREAD >> self.shift] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return self.flags[keys * _SPREAD >> self.shift]
+
+
+def word_pairs(words: np.ndarray) -> np.ndarray:
+    return words[:-1] * _SPREAD + words[1:]
+
+
 class Items:
-    """A chunk of the benchmark with the hash tables of its windows."""
+    """A chunk of the benchmark with the hash table of its windows."""
 
-    def __init__(self, ids: list, texts: list[bytes], walks: Walks):
-        self.walks, self.ids = walks, ids
+    def __init__(self, ids: list, texts: list[bytes], radius: float = RADIUS, target: float = TARGET):
+        self.ids, self.radius = ids, radius
         self.words = [plain_words(t) for t in texts]
         self.bags = [Counter(w) for w in self.words]
-        self.sets = [frozenset(w) for w in self.words]
-        hashes = WordHashes()
-        tables: list[dict] = [defaultdict(set) for _ in walks.sizes]
-        self.short: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
+        hashes, windows = WordHashes(), defaultdict(list)
+        self.edits: dict[int, int] = {}  # most edits of a window, by its size
+        singles, pairs = set(), set()
         for i, words in enumerate(self.words):
             if not words:
                 continue
-            if len(words) < walks.run + walks.sizes[0] - 1:  # may hold no picked start
-                self.short[len(words)][tuple(words)].add(i)
-            if len(words) < walks.sizes[0]:
-                continue
-            needs_least = len(words) < walks.run + walks.sizes[1] - 1
-            h = np.concatenate([np.array([hashes[w] for w in words], dtype=np.uint64), np.full(walks.pad, _PAD)])
-            starts = np.union1d(walks.starts(h), [0])
-            for k, keys in walks.keys(h, starts):
-                if k == 0 and not needs_least:
-                    continue
-                for s, key in zip(starts.tolist(), keys.tolist()):
-                    if s + walks.sizes[k] <= len(words):
-                        tables[k][key].add((i, s))
-        self.short = {n: dict(t) for n, t in self.short.items()}
-        self.tables = [dict(t) for t in tables]
-        self.flags = []
-        for t in self.tables:
-            flag = np.zeros(1 << 22, dtype=bool)
-            flag[np.array(list(t), dtype=np.uint64) & np.uint64((1 << 22) - 1)] = True
-            self.flags.append(flag)
+            h = np.array([hashes[w] for w in words], dtype=np.uint64)
+            singles.update(h.tolist())
+            pairs.update(word_pairs(h).tolist())
+            parts = -(-len(words) // WINDOW)
+            most = int(radius * len(words)) // parts
+            cuts = [len(words) * p // parts for p in range(parts + 1)]
+            for low, high in zip(cuts, cuts[1:]):
+                windows[high - low].append((i, low, h[low:high]))
+                self.edits[high - low] = max(most, self.edits.get(high - low, 0))
+        self.repeats = {n: repeats_for(n, k, target) for n, k in self.edits.items()}
+        self.table: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for n, listed in windows.items():
+            flat = np.concatenate([x for _, _, h in listed for x in (h, [_PAD])]).astype(np.uint64)
+            starts = np.arange(len(listed)) * (n + 1)
+            for r in range(self.repeats[n]):
+                keys = window_keys(flat, starts, pointers(flat, starts, starts + n, steps_of(n), r), n, r)
+                for key, (i, low, _) in zip(keys.tolist(), listed):
+                    self.table[key].append((i, low))
+        self.table = dict(self.table)
+        self.known, self.known_words, self.known_pairs = KnownKeys(list(self.table)), KnownKeys(list(singles)), KnownKeys(list(pairs))
         self.masks: dict[int, dict[bytes, int]] = {}
 
     def mask(self, i: int) -> dict[bytes, int]:
@@ -175,99 +211,144 @@ class Items:
             self.masks[i] = dict(m)
         return self.masks[i]
 
-    def matches(self, texts: list[bytes], hashes: WordHashes, radius: float) -> list[dict[int, int]]:
+    def possible(self, flat: np.ndarray) -> dict[int, np.ndarray]:
+        """By window size, the starts that may begin a match."""
+        real = flat != _PAD
+        single = np.concatenate([[0], np.cumsum(self.known_words(flat) & real, dtype=np.int32)])
+        pair = np.concatenate([[0], np.cumsum(self.known_pairs(word_pairs(flat)) & real[:-1] & real[1:], dtype=np.int32)])
+        out = {}
+        for n, k in self.edits.items():
+            need = n - 1 - 2 * k
+            sums, need, width = (pair, need, n + k - 1) if need > 0 else (single, n - k, n + k)
+            ends = np.minimum(np.arange(len(flat)) + width, len(sums) - 1)
+            out[n] = np.flatnonzero(sums[ends] - sums[np.minimum(np.arange(len(flat)), len(sums) - 1)] >= need)
+        return out
+
+    def candidates(self, flat: np.ndarray, ends: np.ndarray):
+        """Yields (start, item, place of the window in the item)."""
+        possible = self.possible(flat)
+        every = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *possible.values()]))
+        for low in range(0, len(every), _BLOCK):
+            starts = every[low : low + _BLOCK]
+            stops = ends[np.searchsorted(ends, starts)]
+            own = {n: at for n, s in possible.items() if len(at := np.flatnonzero(np.isin(starts, s, assume_unique=True)))}
+            for r in range(max((self.repeats[n] for n in own), default=0)):
+                sizes = [n for n in own if self.repeats[n] > r]
+                walked = pointers(flat, starts, stops, steps_of(max(sizes)), r)
+                for n in sizes:
+                    keys = window_keys(flat, starts[own[n]], walked[:, own[n]], n, r)
+                    for at in np.flatnonzero(self.known(keys)).tolist():
+                        for i, offset in self.table.get(int(keys[at]), ()):
+                            yield int(starts[own[n][at]]), i, offset
+
+    def matches(self, texts: list[bytes], hashes: WordHashes) -> list[dict[int, int]]:
         """Per text: items within the radius, with their edit distance."""
-        walks = self.walks
         words = [plain_words(t) for t in texts]
-        sizes = np.array([len(w) + walks.pad for w in words], dtype=np.int64)
-        base = np.cumsum(sizes) - sizes
+        sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        ends = np.cumsum(sizes) - 1  # each text's padding word
         flat = np.full(int(sizes.sum()), _PAD)
-        for at, w in zip(base.tolist(), words):
-            flat[at : at + len(w)] = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
-        starts = walks.starts(flat)
+        for end, w in zip(ends.tolist(), words):
+            flat[end - len(w) : end] = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
+        firsts: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for start, i, offset in self.candidates(flat, ends):
+            d = int(np.searchsorted(ends, start))
+            firsts[d, i].add(start - int(ends[d]) + len(words[d]) - offset)
         found: list[dict[int, int]] = [{} for _ in texts]
-        tried: set[tuple[int, int, int]] = set()
         seen: dict[tuple[int, bytes], int] = {}
-        for k, keys in walks.keys(flat, starts):
-            for at in np.flatnonzero(self.flags[k][keys & np.uint64((1 << 22) - 1)]).tolist():
-                for i, offset in self.tables[k].get(int(keys[at]), ()):
-                    d = int(np.searchsorted(base, starts[at], side="right")) - 1
-                    self._check(d, int(starts[at] - base[d]) - offset, i, words[d], radius, found, tried, seen)
-        for n, table in self.short.items():
-            for d, w in enumerate(words):
-                for s, gram in enumerate(zip(*(w[j:] for j in range(n)))):
-                    for i in table.get(gram, ()):
-                        self._check(d, s, i, w, radius, found, tried, seen)
+        for (d, i), places in firsts.items():
+            away = min(self._distance(i, words[d][low:high], seen) for low, high in self._regions(i, sorted(places)))
+            if away <= int(self.radius * len(self.words[i])):
+                found[d][i] = away
         return found
 
-    def _check(self, d, first, i, words, radius, found, tried, seen):
-        if (d, i, first) in tried:
-            return
-        tried.add((d, i, first))
-        n = len(self.words[i])
-        most = int(radius * n)
-        region = words[max(0, first - most - 1) : first + n + most + 1]
-        # each edit takes at most one of the item's words away
-        if len(self.sets[i].intersection(region)) < len(self.sets[i]) - most:
-            return
+    def _regions(self, i: int, firsts: list[int]) -> list[tuple[int, int]]:
+        """Stretches around the places where the item may begin, merged."""
+        n, out = len(self.words[i]), []
+        spare = int(self.radius * n) + 1
+        for first in firsts:
+            # a window is found a few words beside its place at times
+            low, high = max(0, first - 2 * spare), max(0, first + n + 2 * spare)
+            if out and low <= out[-1][1]:
+                out[-1] = out[-1][0], high
+            else:
+                out.append((low, high))
+        return out
+
+    def _distance(self, i: int, region: list[bytes], seen: dict) -> int:
         key = i, b" ".join(region)
         if key not in seen:
-            there = Counter(region)
+            n, there = len(self.words[i]), Counter(region)
+            # each edit takes at most one of the item's words away
             common = sum(min(k, there[w]) for w, k in self.bags[i].items())
-            seen[key] = nearest_distance(self.words[i], region, self.mask(i)) if common >= n - most else n
-        away = seen[key]
-        if away <= most and away < found[d].get(i, 1 << 60):
-            found[d][i] = away
+            seen[key] = nearest_distance(self.words[i], region, self.mask(i)) if common >= n - int(self.radius * n) else n
+        return seen[key]
 
 
-def _chunks(benchmark: DataFrame, chunk: int, walks: Walks):
-    """Broadcasts of at most `chunk` items: one chunk is collected at a time."""
-    spark = benchmark.sparkSession
-    ids, texts = [], []
+def _chunks(benchmark: DataFrame, chunk: int):
+    """Chunks of at most `chunk` items, collected one at a time."""
+    ids, texts, held = [], [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         ids.append(row.item_id)
         texts.append((row.text or "").encode())
-        if len(ids) == chunk:
-            yield share(spark, (ids, texts))
-            ids, texts = [], []
+        held += len(texts[-1])
+        if len(ids) == chunk or held >= CHUNK_BYTES:
+            yield ids, texts
+            ids, texts, held = [], [], 0
     if ids:
-        yield share(spark, (ids, texts))
+        yield ids, texts
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, chunk: int, radius: float, read):
+    """read(docs or what the last pass gave, broadcast) of each chunk; all
+    but the last are written, and their broadcasts destroyed."""
+    before = None
+    for ids_texts in _chunks(benchmark, chunk):
+        if before is not None:
+            out, sent = before
+            written = materialize(out)
+            sent.destroy()
+            yield written
+        sent = share(docs.sparkSession, Items(*ids_texts, radius=radius))
+        before = read(sent), sent
+    if before is not None:
+        yield before[0]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, radius: float = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, item_id, distance, similarity): each row of docs and each
     item that it holds; distance in words."""
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    walks, parts = Walks(), []
-    for sent in _chunks(benchmark, chunk, walks):
-
-        def search(batches, sent=sent):
-            items, hashes = Items(*shared(sent), walks), WordHashes()
-            for batch in text_slices(batches, limit=1 << 20):
-                rows = [
-                    (doc_id, items.ids[i], away, 1 - away / len(items.words[i]))
-                    for doc_id, found in zip(batch.column("doc_id").to_pylist(), items.matches(as_bytes(batch), hashes, radius))
-                    for i, away in sorted(found.items())
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [types[kind], types[item_kind], pa.int64(), pa.float64()])], names=["doc_id", "item_id", "distance", "similarity"])
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, distance long, similarity double"))
-    out = parts[0] if parts else docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, distance long, similarity double")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = [docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType]
+    item_type = arrow_type(kinds[1])
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance long, similarity double"
+
+    def read(sent):
+        def search(batches):
+            items, hashes = shared(sent), WordHashes()
+            for batch in text_slices(batches):
+                found = [(d, items.ids[i], away, 1 - away / len(items.words[i])) for d, of in enumerate(items.matches(as_bytes(batch), hashes)) for i, away in sorted(of.items())]
+                d, ids, away, like = zip(*found) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d, pa.int64())), pa.array(ids, item_type), pa.array(away, pa.int64()), pa.array(like, pa.float64())], names=["doc_id", "item_id", "distance", "similarity"])
+
+        return docs.select("doc_id", "text").mapInArrow(search, schema)
+
+    out = None
+    for part in _passes(docs, benchmark, chunk, radius, read):
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, radius: float = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
-    walks = Walks()
-    for sent in _chunks(benchmark, chunk, walks):
+    left = docs
+
+    def read(sent):
+        def keep(batches):
+            items, hashes = shared(sent), WordHashes()
+            for batch in text_slices(batches):
+                yield batch.filter(pa.array([not f for f in items.matches(as_bytes(batch), hashes)], pa.bool_()))
 
-        def keep(batches, sent=sent):
-            items, hashes = Items(*shared(sent), walks), WordHashes()
-            for batch in text_slices(batches, limit=1 << 20):
-                yield batch.filter(pa.array([not f for f in items.matches(as_bytes(batch), hashes, radius)]))
+        return left.mapInArrow(keep, docs.schema)
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    for part in _passes(docs, benchmark, chunk, radius, read):
+        left = part
+    return left

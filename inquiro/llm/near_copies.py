@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inquiro.llm.common import as_bytes, materialize, text_slices
-from inquiro.llm.components import components
+from inquiro.operators.stars import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED, TILE = 5, 0.8, 32, 5, 42, 512
 _COLUMNS = 8192  # shingles compared at once

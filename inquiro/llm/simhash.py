@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inquiro.llm.common import as_bytes, materialize, text_slices
-from inquiro.llm.components import components
+from inquiro.operators.stars import components
 from inquiro.llm.near_copies import forest, near_copies, shingle_hashes, with_set_name
 from inquiro.llm.near_copies import SHINGLE as STAGE_SHINGLE
 from inquiro.llm.near_copies import SIMILARITY as STAGE_SIMILARITY
