@@ -12,7 +12,9 @@ with coins of its own and samples SAMPLED coordinates of the walk; a document
 window that agrees on them with an item's is a candidate. The number of
 repetitions of each window size comes from TARGET: it is the least at which
 simulated copies with that size's allowance of random edits are found that
-often, an edit being a replaced, added or lost word (see repeats_for).
+often, an edit being a replaced, added or lost word (see repeats_for). As a
+copy may also have lost its first words at once, an item's windows are listed
+again without as many of their first words as half or all of the edits.
 Every candidate is checked exactly: the least edit distance between the item
 and any stretch of the document around the window, in words, must be at most
 `radius` of the item's length.
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +84,15 @@ def pointers(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int
     return out
 
 
-def window_keys(words: np.ndarray, starts: np.ndarray, walked: np.ndarray, size: int, repeat: int) -> np.ndarray:
-    """The key of each start's window of `size` words in one repetition."""
+def window_keys(words: np.ndarray, starts: np.ndarray, walked: np.ndarray, size: int, repeat: int, own: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The key of the window of `size` words at each of the starts `own` in
+    one repetition."""
+    starts = starts[own]
     rng = np.random.default_rng((size, repeat))
     key = np.full(len(starts), np.uint64(size << 8 | repeat))
     for j in sorted(rng.choice(steps_of(size), SAMPLED, replace=False).tolist()):
-        said = np.where(walked[j] < size, words[starts + walked[j]], _PAD)
+        far = walked[j][own]
+        said = np.where(far < size, words[starts + far], _PAD)
         key = (key ^ said) * (rng.integers(1, 1 << 62, dtype=np.uint64) | np.uint64(1))
         key ^= key >> np.uint64(31)
     return key
@@ -102,13 +108,13 @@ def edited(words: list, edits: int, rng: np.random.Generator, fresh) -> list:
 
 
 @lru_cache(maxsize=None)
-def repeats_for(size: int, edits: int, target: float, copies: int = 300) -> int:
+def repeats_for(size: int, edits: int, target: float, copies: int = 200) -> int:
     """Repetitions that find `target` of simulated copies of windows of
     `size` different words after `edits` random edits, MAX_REPEATS at most."""
     if not edits:
         return 1
-    rng = np.random.default_rng(size)
-    fresh = lambda: int(rng.integers(1, 1 << 62))
+    rng, new = np.random.default_rng(size), count(1)
+    fresh = lambda: next(new) * int(_SPREAD) >> 1 & (1 << 62) - 1
     pairs, width = [], 2 * size + 2
     for _ in range(copies):
         item = [fresh() for _ in range(size)]
@@ -152,17 +158,24 @@ def nearest_distance(item: list[bytes], text: list[bytes], masks: dict[bytes, in
 
 
 class KnownKeys:
-    """Whether a hash may be among the given ones: a table of flags of 16
-    places a hash."""
+    """Which hashes are among the given ones: flags of 16 places a hash, then
+    a search of the sorted hashes."""
 
     def __init__(self, keys: list[int]):
         bits = max(12, (16 * len(keys)).bit_length())
+        self.keys = np.unique(np.array(keys, dtype=np.uint64))
         self.shift, self.flags = np.uint64(64 - bits), np.zeros(1 << bits, dtype=bool)
-        self.flags[np.array(keys, dtype=np.uint64) * _SPREAD >> self.shift] = True
+        self.flags[self.keys * _SPREAD >> self.shift] = True
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
         return self.flags[keys * _SPREAD >> self.shift]
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the known ones."""
+        at = np.flatnonzero(self.maybe(keys))
+        near = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        return at[self.keys[near] == keys[at]]
+
 
 def word_pairs(words: np.ndarray) -> np.ndarray:
     return words[:-1] * _SPREAD + words[1:]
@@ -194,11 +207,13 @@ class Items:
         self.table: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, listed in windows.items():
             flat = np.concatenate([x for _, _, h in listed for x in (h, [_PAD])]).astype(np.uint64)
-            starts = np.arange(len(listed)) * (n + 1)
-            for r in range(self.repeats[n]):
-                keys = window_keys(flat, starts, pointers(flat, starts, starts + n, steps_of(n), r), n, r)
-                for key, (i, low, _) in zip(keys.tolist(), listed):
-                    self.table[key].append((i, low))
+            for lost in {0, self.edits[n] // 2, self.edits[n]}:
+                begin = np.arange(len(listed)) * (n + 1)
+                starts, ends = begin + lost, begin + n
+                for r in range(self.repeats[n]):
+                    keys = window_keys(flat, starts, pointers(flat, starts, ends, steps_of(n), r), n, r)
+                    for key, (i, low, _) in zip(keys.tolist(), listed):
+                        self.table[key].append((i, low + lost))
         self.table = dict(self.table)
         self.known, self.known_words, self.known_pairs = KnownKeys(list(self.table)), KnownKeys(list(singles)), KnownKeys(list(pairs))
         self.masks: dict[int, dict[bytes, int]] = {}
@@ -214,14 +229,14 @@ class Items:
     def possible(self, flat: np.ndarray) -> dict[int, np.ndarray]:
         """By window size, the starts that may begin a match."""
         real = flat != _PAD
-        single = np.concatenate([[0], np.cumsum(self.known_words(flat) & real, dtype=np.int32)])
-        pair = np.concatenate([[0], np.cumsum(self.known_pairs(word_pairs(flat)) & real[:-1] & real[1:], dtype=np.int32)])
+        widest = np.zeros(max((n + k for n, k in self.edits.items()), default=0), dtype=bool)
+        single = np.cumsum(np.concatenate([[False], self.known_words.maybe(flat) & real, widest]), dtype=np.int32)
+        pair = np.cumsum(np.concatenate([[False], self.known_pairs.maybe(word_pairs(flat)) & real[:-1] & real[1:], widest]), dtype=np.int32)
         out = {}
         for n, k in self.edits.items():
             need = n - 1 - 2 * k
             sums, need, width = (pair, need, n + k - 1) if need > 0 else (single, n - k, n + k)
-            ends = np.minimum(np.arange(len(flat)) + width, len(sums) - 1)
-            out[n] = np.flatnonzero(sums[ends] - sums[np.minimum(np.arange(len(flat)), len(sums) - 1)] >= need)
+            out[n] = np.flatnonzero(sums[width:] - sums[:-width] >= need)
         return out
 
     def candidates(self, flat: np.ndarray, ends: np.ndarray):
@@ -236,9 +251,9 @@ class Items:
                 sizes = [n for n in own if self.repeats[n] > r]
                 walked = pointers(flat, starts, stops, steps_of(max(sizes)), r)
                 for n in sizes:
-                    keys = window_keys(flat, starts[own[n]], walked[:, own[n]], n, r)
-                    for at in np.flatnonzero(self.known(keys)).tolist():
-                        for i, offset in self.table.get(int(keys[at]), ()):
+                    keys = window_keys(flat, starts, walked, n, r, own[n])
+                    for at in self.known.places(keys).tolist():
+                        for i, offset in self.table[int(keys[at])]:
                             yield int(starts[own[n][at]]), i, offset
 
     def matches(self, texts: list[bytes], hashes: WordHashes) -> list[dict[int, int]]:

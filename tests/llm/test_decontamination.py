@@ -38,13 +38,17 @@ def test_nearest_distance_is_the_plain_one():
 
 def edit(words, k, kind):
     out = list(words)
+    if kind == "front":
+        return out[k:]
+    if kind == "back":
+        return out[: len(out) - k]
     for _ in range(k):
         op, at = kind if kind != "mixed" else RND.choice(["replaced", "added", "lost"]), RND.randrange(len(out))
         out[at : at + (op != "added")] = [] if op == "lost" else [word()]
     return out
 
 
-@pytest.mark.parametrize("kind", ["replaced", "added", "lost", "mixed"])
+@pytest.mark.parametrize("kind", ["replaced", "added", "lost", "mixed", "front", "back"])
 def test_recall_at_the_radius(spark, kind):
     lengths, each = (1, 2, 4, 5, 6, 8, 10, 12, 16, 20, 25, 33, 50, 64, 65, 100, 190), 40
     items, docs = [], []
