@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from inquiro.llm import chat_template, decontamination, line_rules, link_filter, mixing, sharding, simhash, suffix_tree, token_counts, toxicity
+from inquiro.llm import chat_template, line_rules, link_filter, mixing, sharding, simhash, suffix_tree, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long"
 RND = random.Random(3)
@@ -125,16 +125,6 @@ def test_tile_forest_joins_all_links():
     assert len(a) < len(x) and set(a.tolist()) | set(b.tolist()) <= set(x.tolist())
 
 
-def test_toxicity(spark, docs, none):
-    rows = [(i, prose(30) + (" grumblefoot" if i % 4 == 0 else ""), 1 if i % 4 == 0 else 0) for i in range(400)]
-    docs_ = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(a, None, c) for a, _, c in rows], "doc_id long, quality int, toxic int")
-    got = toxicity.score_documents(docs_, labels).collect()
-    assert all(g.predicted == (g.doc_id % 4 == 0) for g in got) and any(g.held_out for g in got)
-    assert all(0 <= g.score <= 1 for g in toxicity.score_documents(docs, labels).collect())
-    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count() and toxicity.score_documents(none, labels).count() == 0
-
-
 def test_sharding(docs, rows, none):
     import zlib
 
@@ -147,20 +137,6 @@ def test_sharding(docs, rows, none):
     assert sharding.shard_documents(none).count() == 0
 
 
-def test_decontamination(spark, docs, none):
-    rnd = random.Random(8)
-    items = [prose(rnd.randint(14, 50), rnd) for _ in range(20)] + ["two words", None, ""]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    held = [(1000 + i, f"{prose(40, rnd)} {t.upper()}. {prose(40, rnd)}") for i, t in enumerate(items[:20])]
-    near = [(2000 + i, prose(9, rnd) + " " + " ".join("other" if k == 7 else w for k, w in enumerate(t.split()))) for i, t in enumerate(items[:20])]
-    frame = spark.createDataFrame(held + near + [(3000, "here are two words indeed"), (3001, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame, bench, chunk=7).collect()}
-    assert {(1000 + i, i) for i in range(20)} <= got and (3000, 20) in got
-    assert len({(2000 + i, i) for i in range(20)} & got) >= 18
-    assert {r.doc_id for r in decontamination.drop_leaks(frame, bench).collect()} == {r for r, _ in held + near + [(3001, 0)]} - {d for d, _ in got}
-    assert decontamination.find_leaks(docs, bench).count() == 0 and decontamination.find_leaks(none, bench).count() == 0
-
-
 def test_token_counts(docs, rows, none):
     import public_tokenizers
     import sentencepiece
@@ -200,12 +176,3 @@ def test_chat_template(spark):
         chat_template.compile_template("{{ messages.__class__ }}")
     tree = chat_template.fold_block(chat_template.parse('a{% if "x" == "x" %}b{{ "c" + "d" | upper }}{% else %}no{% endif %}'))
     assert [n.value for n in tree] == ["abcD"]
-
-
-def test_prefix_levels_count_different_words():
-    bucket = toxicity.word_terms(b"abcdxx")[1]
-    terms = toxicity.Terms()
-    two, three = (toxicity.level_term(bucket, k) for k in toxicity.LEVELS)
-    assert two not in terms(b"abcdxx abcdxx, ABCDXX!") and two in terms(b"abcdxx abcdyy")
-    assert three not in terms(b"abcdxx abcdyy") and three in terms(b"abcdxx abcdyy abcdzz")
-    assert toxicity.Terms({two: 7})(b"abcdxx. abcdyy abcdzz") == {7}
