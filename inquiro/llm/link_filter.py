@@ -1,8 +1,9 @@
 """URL filter: rules first, then trust and distrust over the host graph.
 
 A rule (host and path prefix) decides the urls it fits; the longest wins.
-Hosts whose pages the rules mostly allow are trusted seeds, those they mostly
-block are blocked seeds. Personalised PageRank carries trust along the host
+A host is a trusted seed if the rules allow more of its pages than they block,
+a blocked seed if they block more; pages without a rule do not count, and the
+pages that count are the seed's weight. Personalised PageRank carries trust along the host
 edges and distrust against them (who links to a blocked host is suspect).
 A url without a rule is blocked if its host's distrust exceeds its trust and
 is at least `floor` times an even share; else it is allowed.
@@ -134,8 +135,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, floor:
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = ruled.withColumns({"rule": rule, "said": said})
     hosts = materialize(
-        ruled.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("b"))
-        .select("host", F.when(2 * F.col("a") > F.col("n"), F.col("a")).otherwise(0).alias("trusted"), F.when(2 * F.col("b") > F.col("n"), F.col("b")).otherwise(0).alias("blocked"))
+        ruled.groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("b"))
+        .select("host", F.when(F.col("a") > F.col("b"), F.col("a")).otherwise(0).alias("trusted"), F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(0).alias("blocked"))
     )
     edges = materialize(host_edges(pages.select("url", "html"), hosts))
     scores = propagate(hosts, edges, damping=damping, rounds=rounds)
