@@ -1,4 +1,4 @@
-"""Column builders that bring raw text fields to their canonical form.
+"""Column builders that bring raw text fields to their canonical form; scores.
 
 Each returns null where the text does not qualify; blank counts as missing.
 Only ASCII digits are digits; nan, inf and 1_000 are not numbers.
@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 # Field, rule, error code, whether it may be missing, by dataset.
 PLANS: dict[str, list[tuple[str, str, str, bool]]] = {
-    "FIR": [("fir_id", "text", "INVALID_VALUE", False), ("date", "date", "INVALID_TIMESTAMP", False), ("police_station", "text", "INVALID_VALUE", True), ("text", "text", "INVALID_VALUE", False), ("source", "upper", "INVALID_VALUE", True)],
-    "CDR": [("cdr_id", "text", "INVALID_VALUE", False), ("caller", "phone", "INVALID_PHONE", False), ("receiver", "phone", "INVALID_PHONE", False), ("timestamp", "timestamp", "INVALID_TIMESTAMP", False), ("duration", "integer", "INVALID_NUMERIC_VALUE", False)],
-    "TRANSACTION": [("transaction_id", "text", "INVALID_VALUE", False), ("sender_account", "account", "INVALID_ACCOUNT", False), ("receiver_account", "account", "INVALID_ACCOUNT", False), ("amount", "amount", "INVALID_NUMERIC_VALUE", False), ("currency", "upper", "INVALID_VALUE", False), ("timestamp", "timestamp", "INVALID_TIMESTAMP", False)],
-    "VEHICLE": [("vehicle_id", "text", "INVALID_VALUE", False), ("registration_number", "vehicle", "INVALID_VEHICLE", False), ("owner_name", "text", "INVALID_VALUE", False), ("source", "upper", "INVALID_VALUE", True)],
-    "LOCATION": [("location_id", "text", "INVALID_VALUE", False), ("name", "text", "INVALID_VALUE", False), ("latitude", "latitude", "INVALID_NUMERIC_VALUE", True), ("longitude", "longitude", "INVALID_NUMERIC_VALUE", True)],
+    "FIR": [("fir_id", "text", "INVALID_RECORD_STRUCTURE", False), ("date", "date", "INVALID_TIMESTAMP", False), ("police_station", "text", "INVALID_RECORD_STRUCTURE", True), ("text", "text", "INVALID_RECORD_STRUCTURE", False), ("source", "upper", "INVALID_RECORD_STRUCTURE", True)],
+    "CDR": [("cdr_id", "text", "INVALID_RECORD_STRUCTURE", False), ("caller", "phone", "INVALID_PHONE_NUMBER", False), ("receiver", "phone", "INVALID_PHONE_NUMBER", False), ("timestamp", "timestamp", "INVALID_TIMESTAMP", False), ("duration", "integer", "INVALID_NUMERIC_VALUE", False)],
+    "TRANSACTION": [("transaction_id", "text", "INVALID_RECORD_STRUCTURE", False), ("sender_account", "account", "INVALID_RECORD_STRUCTURE", False), ("receiver_account", "account", "INVALID_RECORD_STRUCTURE", False), ("amount", "amount", "INVALID_NUMERIC_VALUE", False), ("currency", "upper", "INVALID_RECORD_STRUCTURE", False), ("timestamp", "timestamp", "INVALID_TIMESTAMP", False)],
+    "VEHICLE": [("vehicle_id", "text", "INVALID_RECORD_STRUCTURE", False), ("registration_number", "vehicle", "INVALID_VEHICLE_NUMBER", False), ("owner_name", "text", "INVALID_RECORD_STRUCTURE", False), ("source", "upper", "INVALID_RECORD_STRUCTURE", True)],
+    "LOCATION": [("location_id", "text", "INVALID_RECORD_STRUCTURE", False), ("name", "text", "INVALID_RECORD_STRUCTURE", False), ("latitude", "latitude", "INVALID_NUMERIC_VALUE", True), ("longitude", "longitude", "INVALID_NUMERIC_VALUE", True)],
 }
+# Match keys derived from a field, by dataset.
+DERIVED = {"VEHICLE": [("owner_normalized", "owner_name")], "LOCATION": [("name_normalized", "name")]}
 ID_PATTERN = "^[A-Za-z0-9_-]{1,64}$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -44,13 +46,31 @@ def account(c: Column) -> Column:
     return F.when(d.rlike(r"^[A-Z0-9]{3,32}$"), d)
 
 
+_PLAIN = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{1,2}):(\d{1,2})|T(\d{1,2}):(\d{1,2}))?$"
+_ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:.(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,]\d+)?)?)?(?:([+-])(\d{2}):?(\d{2})?(?::?(\d{2}))?)?)?$"
+
+
 def timestamp(c: Column) -> Column:
-    """ISO text in UTC to the second; session time zone must be UTC."""
-    t = F.regexp_replace(whitespace(c), r"Z$", "")
-    slashed = t.rlike(r"^\d{2}/\d{2}/\d{4}( \d{2}:\d{2}(:\d{2})?)?$")
-    dashed = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([+-]\d{2}:\d{2})?)?$")
-    day = F.concat(F.substring(t, 7, 4), F.lit("-"), F.substring(t, 4, 2), F.lit("-"), F.substring(t, 1, 2), F.substring(t, 11, 9))
-    return F.date_format(F.when(dashed, F.try_to_timestamp(t)).when(slashed, F.try_to_timestamp(day)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO text in UTC to the second, of dates and times with year, month and
+    day in that order; offsets are taken off, fractions cut, one Z at the end
+    is ignored. The session time zone must be UTC."""
+    t = whitespace(F.regexp_replace(whitespace(c), r"Z$", ""))
+    plain = t.rlike(_PLAIN)
+
+    def part(k: int, iso: int | None = None, other: int | None = None) -> Column:
+        found = F.regexp_extract(t, _PLAIN, k)
+        if other:
+            found = F.when(found == "", F.regexp_extract(t, _PLAIN, other)).otherwise(found)
+        found = F.when(plain, found).otherwise(F.regexp_extract(t, _ISO, iso or k))
+        return F.lpad(F.when(found == "", "0").otherwise(found), 2, "0")
+
+    year = F.substring(t, 1, 4)
+    text = F.concat(year, F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4, other=7), F.lit(":"), part(5, other=8), F.lit(":"), part(6))
+    ahead = sum(F.coalesce(F.regexp_extract(t, _ISO, g).try_cast("int"), F.lit(0)) * unit for g, unit in ((8, 3600), (9, 60), (10, 1)))
+    ahead = F.when(F.regexp_extract(t, _ISO, 7) == "-", -ahead).otherwise(ahead)
+    shift = F.when(plain, F.lit(0)).otherwise(ahead)
+    moment = F.when(plain | t.rlike(_ISO), F.try_to_timestamp(text))
+    return F.date_format(F.timestamp_seconds(F.unix_timestamp(moment) - shift), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def date(c: Column) -> Column:
@@ -100,6 +120,12 @@ def edge_id(src: Column, kind: Column, dst: Column, key: Column) -> Column:
     return F.concat(F.lit("rel_"), F.substring(F.sha2(F.concat_ws("|", src, kind, dst, key), 256), 1, 16))
 
 
+def day_and_hour(ts: Column) -> tuple[Column, Column]:
+    """The day and the hour of ISO text; null where it is shorter."""
+    day, hour = F.substring(ts, 1, 10), F.substring(ts, 12, 2).try_cast("int")
+    return F.when(F.length(day) == 10, day), hour
+
+
 def reasons(features: dict[str, Column], medians: dict[str, Column]) -> Column:
     """Texts of the features that stand out against their medians."""
     # Feature, floor, multiple of the median, text.
@@ -117,3 +143,41 @@ def reasons(features: dict[str, Column], medians: dict[str, Column]) -> Column:
 
 def priority(pagerank: Column, betweenness: Column, anomaly: Column) -> Column:
     return F.round(0.35 * score(pagerank) + 0.35 * score(betweenness) + 0.30 * score(anomaly), 4)
+
+
+def priority_100(pagerank: Column, betweenness: Column, anomaly: Column) -> Column:
+    """The priority as a whole number from 0 to 100."""
+    return F.round(priority(pagerank, betweenness, anomaly) * 100).cast("int")
+
+
+def score_reasons(pagerank: Column, betweenness: Column, anomaly: Column, high_degree: Column | None = None, community_size: Column | None = None) -> Column:
+    """Texts of the parts of a score that are high."""
+    # Threshold and text of each part.
+    rules = [
+        (pagerank >= 0.7, "High structural importance in the network"),
+        (betweenness >= 0.7, "Acts as a bridge between network groups"),
+        (anomaly >= 0.7, "Unusual activity pattern"),
+        (F.lit(False) if high_degree is None else high_degree, "Highly connected entity"),
+        (F.lit(False) if community_size is None else community_size >= 3, "Connected to a dense network group"),
+    ]
+    return F.array_compact(F.array(*[F.when(rule, text) for rule, text in rules]))
+
+
+def shown_score(c: Column) -> Column:
+    """Two decimals; a dash where there is no number."""
+    return F.when(c.isNull() | F.isnan(c), "—").otherwise(F.format_string("%.2f", c))
+
+
+def shown_percent(c: Column) -> Column:
+    return F.when(c.isNull() | F.isnan(c), "—").otherwise(F.concat(F.round(c * 100).cast("long").cast("string"), F.lit("%")))
+
+
+def shown_integer(c: Column) -> Column:
+    return F.when(c.isNull(), "—").otherwise(F.format_number(c, 0))
+
+
+def clean_person(c: Column) -> Column:
+    """A name without a leading role word and marks at its ends; null if under
+    2 or over 256 characters are left."""
+    name = F.btrim(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"(?i)^(?:complainant|accused|victim|witness|informant|suspect)s?\b\s+", ""), F.lit(" ,."))
+    return F.when(F.length(name).between(2, 256), name)

@@ -1,24 +1,62 @@
-"""Hash-chained audit log: verification."""
+"""Hash-chained audit log: canonical digests and verification."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "GENESIS"
+FIELDS = ("action", "actor", "created_at", "input_hash", "output_hash", "prev_hash", "target")
+# JSON's short escapes.
+_SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 
-def entry_hash(prev, *fields):
-    return F.sha2(F.concat_ws("|", prev, *fields), 256)
+def json_text(c: Column) -> Column:
+    """A JSON string in ASCII alone, quotes included."""
+    def one(x: Column) -> Column:
+        code = F.lower(F.regexp_replace(F.hex(F.encode(x, "UTF-16BE")), "(.{4})", r"\\u$1"))
+        out = F.when(x.rlike(r"^[\x20-\x7f]$"), x).otherwise(code)
+        for k, v in _SHORT.items():
+            out = F.when(x == F.lit(k), F.lit(v)).otherwise(out)
+        return out
+
+    plain = c.rlike(r'^[\x20\x21\x23-\x5b\x5d-\x7f]*$')
+    escaped = F.array_join(F.transform(F.split(c, ""), one), "")
+    return F.concat(F.lit('"'), F.when(plain, c).otherwise(escaped), F.lit('"'))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """An object of text fields: keys in order, no spaces, ASCII alone."""
+    parts = [F.concat(F.lit(f'"{k}":'), json_text(fields[k])) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def digest(fields: dict[str, Column]) -> Column:
+    return F.sha2(canonical_json(fields), 256)
+
+
+def event_hash(fields: dict[str, Column]) -> Column:
+    """The chain hash of an event: over the hash before and its fields."""
+    full = {k: F.coalesce(fields.get(k, F.lit("")), F.lit("")) for k in FIELDS}
+    return F.sha2(F.concat(full["prev_hash"], canonical_json(full)), 256)
+
+
+def check_rows(log: DataFrame, span: int = 100_000) -> DataFrame:
+    """(seq, id, hash, ok): each row's own hash and its link to the row before.
+    The order is cut into spans of `span` sequence numbers; a span's first row
+    takes the last hash of the nearest span before that holds rows, so no task
+    sorts more than a span (or one row a span)."""
+    log = log.withColumn("b", F.floor(F.col("seq") / span))
+    last = log.groupBy("b").agg(F.max_by("hash", "seq").alias("last"))
+    carried = last.select("b", F.lag("last").over(Window.orderBy("b")).alias("carried"))
+    inside = log.withColumn("before", F.lag("hash").over(Window.partitionBy("b").orderBy("seq")))
+    linked = inside.join(carried, "b").withColumn("expected", F.coalesce("before", "carried", F.lit(GENESIS)))
+    have = {k: F.col(k) for k in FIELDS if k in log.columns}
+    good = (F.col("prev_hash") == F.col("expected")) & (F.col("hash") == event_hash(have))
+    return linked.select("seq", "id", "hash", F.coalesce(good, F.lit(False)).alias("ok"))
 
 
 def verify_chain(log: DataFrame, span: int = 100_000) -> DataFrame:
-    """(seq, ok): each row's hash and its link to the row before. The order
-    is split into spans of `span` sequence numbers; a span's first row finds
-    its predecessor by a join, so no task sorts the whole log."""
-    block = F.floor(F.col("seq") / span)
-    inside = log.withColumn("b", block).withColumn("before", F.lag("hash").over(Window.partitionBy("b").orderBy("seq")))
-    last = log.groupBy((block + 1).alias("b")).agg(F.max_by("hash", "seq").alias("carried"))
-    linked = inside.join(last, "b", "left").withColumn("expected", F.coalesce("before", "carried", F.lit(GENESIS)))
-    good = (F.col("prev_hash") == F.col("expected")) & (F.col("hash") == entry_hash(F.col("prev_hash"), "created_at", "actor", "action", "target"))
-    return linked.select("seq", good.alias("ok"))
+    """One row: verified, count, head_hash and broken_at (the first bad id)."""
+    bad = F.when(~F.col("ok"), F.col("seq"))
+    return check_rows(log, span).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("verified"), F.count("*").alias("count"), F.max_by("hash", "seq").alias("head_hash"), F.min_by("id", bad).alias("broken_at"))

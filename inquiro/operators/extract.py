@@ -2,74 +2,161 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inquiro.functions import normalize as N
 
-# Patterns by type, with confidence; lower priority wins.
+# Method, type, pattern, confidence.
 PATTERNS = [
-    ("PHONE", r"\+91[\s\-]?\(?\d{5}\)?[\s\-]?\d{5}", 0.97, 0),
-    ("PHONE", r"(?<![\d+])(?:91[\s\-]?)?[6-9]\d{4}[\s\-]?\d{5}(?!\d)", 0.97, 0),
-    ("VEHICLE", r"(?i)\b[A-Z]{2}[\s\-]?\d{1,2}[\s\-]?[A-Z]{1,3}[\s\-]?\d{4}\b", 0.97, 0),
-    ("ACCOUNT", r"(?i)\bACC[\s\-]?\d{3,6}\b", 0.97, 0),
-    ("DATE", r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:Z)?)?\b", 0.90, 1),
+    ("regex_phone", "PHONE", r"\+91[\s\-]?\(?\d{5}\)?[\s\-]?\d{5}", 0.97),
+    ("regex_phone", "PHONE", r"(?<![\d+])(?:91[\s\-]?)?[6-9]\d{4}[\s\-]?\d{5}(?!\d)", 0.97),
+    ("regex_vehicle", "VEHICLE", r"(?i)\b[A-Z]{2}[\s\-]?\d{1,2}[\s\-]?[A-Z]{1,3}[\s\-]?\d{4}\b", 0.97),
+    ("regex_account", "ACCOUNT", r"(?i)\bACC[\s\-]?\d{3,6}\b", 0.97),
+    ("regex_date", "DATE", r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:Z)?)?\b", 0.90),
 ]
+# Confidence of names; priority of methods, the lower wins.
 GAZETTEER_CONFIDENCE = {"PERSON": 0.87, "LOCATION": 0.85}
+REGEX_PRIORITY, GAZETTEER_PRIORITY = 1, 2
+MAX_NAME, BACKEND = 256, "rules_only"
 _NORMAL = {"PHONE": N.phone, "VEHICLE": N.vehicle, "ACCOUNT": N.account, "DATE": N.date}
+_TOKEN = r"[^\p{L}\p{N}_]+"
+SPANS = "span_id string, type string, value string, normalized_value string, raw string, start long, end long, confidence double, method string, nlp_backend string"
 
 
 def extract_values(docs: DataFrame) -> DataFrame:
     """(doc_id, type, raw, value, confidence): every pattern match whose
-    normal form exists, by built-in expressions alone."""
-    out = None
-    for kind, pattern, confidence, _ in PATTERNS:
-        hits = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("raw"))
-        found = hits.select("doc_id", F.lit(kind).alias("type"), "raw", _NORMAL[kind](F.col("raw")).alias("value"), F.lit(confidence).alias("confidence")).filter(F.col("value").isNotNull())
-        out = found if out is None else out.unionByName(found)
-    return out
+    normal form exists, by built-in expressions in one pass over the texts."""
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda raw, kind=kind, c=c: F.struct(F.lit(kind).alias("type"), raw.alias("raw"), F.lit(c).alias("confidence"))) for _, kind, p, c in PATTERNS]
+    each = docs.select("doc_id", F.explode(F.concat(*found)).alias("e")).select("doc_id", "e.*")
+    value = reduce(lambda out, kind: out.when(F.col("type") == kind, _NORMAL[kind](F.col("raw"))), _NORMAL, F)
+    return each.select("doc_id", "type", "raw", value.alias("value"), "confidence").filter(F.col("value").isNotNull())
 
 
-def gazetteer_hits(docs: DataFrame, names: DataFrame, max_words: int = 5) -> DataFrame:
+def _tokens(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), _TOKEN), lambda x: x != "")
+
+
+def gazetteer_hits(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, type, name): names(type, name) in a text, case-insensitive at
-    word bounds: word n-grams meet the names by an equi-join on the lower key."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}#_&'-]+"), lambda x: x != "")
-    listed = docs.select("doc_id", words.alias("w"))
+    word bounds, any white space between a name's parts.
+
+    The word sequences of a text, of each length that names have, meet the
+    names' by an equi-join; the text itself then decides, so marks between
+    words must agree. Names over 256 characters are left out.
+    """
+    listed = names.filter(F.length("name") <= MAX_NAME).select("type", "name").distinct().withColumn("w", _tokens(F.col("name"))).filter(F.size("w") > 0)
+    lengths = sorted(r[0] for r in listed.select(F.size("w")).distinct().collect())  # at most 128 numbers
+    parts = F.transform(F.filter(F.split("name", r"(?U)\s+"), lambda x: x != ""), lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.array_join(parts, r"(?U:\s+)"), F.lit(r"(?![\p{L}\p{N}_])"))
+    keyed = listed.select("type", "name", F.array_join("w", " ").alias("gram"), pattern.alias("pattern"))
+
+    def grams(n: int) -> Column:
+        places = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    if not lengths:
+        return docs.select("doc_id").limit(0).crossJoin(names.select("type", "name").limit(0))
+    each = docs.select("doc_id", "text", _tokens(F.col("text")).alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.concat(*[grams(n) for n in lengths]))).alias("gram"))
+    return each.join(keyed, "gram").filter(F.regexp_like("text", F.col("pattern"))).select("doc_id", "type", "name").distinct()
+
+
+def build_gazetteer(entities: DataFrame, mentions: DataFrame, most: int = 100) -> DataFrame:
+    """(type, name): the canonical names of entities(id, type, name) that are
+    persons, organizations or places, and up to `most` mention texts of each
+    (the surest). Organizations are listed as persons, as names share a list."""
+    kind = F.when(F.col("type").isin("PERSON", "ORGANIZATION"), "PERSON").when(F.col("type") == "LOCATION", "LOCATION")
+    known = entities.select("id", "name", kind.alias("type")).filter(F.col("type").isNotNull())
+    best = Window.partitionBy("entity_id").orderBy(F.desc("confidence"), "id")
+    said = mentions.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).select(F.col("entity_id"), "text")
+    texts = known.join(said, F.col("id") == F.col("entity_id")).select("type", F.col("text").alias("name"))
+    return known.select("type", "name").unionByName(texts).distinct()
+
+
+def _date(raw: str) -> str | None:
+    try:
+        return dt.datetime.fromisoformat(raw.removesuffix("Z")).strftime("%Y-%m-%d")
+    except ValueError:
+        return None
+
 
-    def of_length(n: int) -> DataFrame:
-        places = F.sequence(F.lit(1), F.size("w") - n + 1)
-        gram = F.transform(places, lambda i: F.array_join(F.slice("w", i, n), " "))
-        return listed.filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(gram)).alias("gram"))
+def _checked(kind: str, raw: str) -> str | None:
+    """The normal form of a pattern's match, or None if it has none."""
+    if kind == "DATE":
+        return _date(raw)
+    bare = re.sub(r"[\s\-().]" if kind == "PHONE" else r"[\s\-]", "", raw).upper()
+    if kind == "PHONE":
+        m = re.fullmatch(r"\+?(?:91)?(\d{10})", bare, re.ASCII)
+        return "+91" + m[1] if m else None
+    return bare if kind == "ACCOUNT" or re.fullmatch(r"[A-Z]{2}\d{2}[A-Z]{2}\d{4}", bare) else None
 
-    grams = [of_length(n) for n in range(1, max_words + 1)]
-    all_ = grams[0]
-    for g in grams[1:]:
-        all_ = all_.unionByName(g)
-    keyed = names.select("type", "name", N.name_key(F.col("name")).alias("gram")).distinct()
-    return all_.join(keyed, "gram").select("doc_id", "type", "name").distinct()
+
+def _person(raw: str) -> str | None:
+    name = re.sub(r"^(?:complainant|accused|victim|witness|informant|suspect)s?\b\s+", "", raw.strip(), flags=re.I).strip(" ,.")
+    return name if 2 <= len(name) <= MAX_NAME else None
+
+
+class SpanFinder:
+    """The spans of a text after overlap resolution."""
+
+    def __init__(self, names: list[tuple[str, str]]):
+        self.patterns = [(m, k, re.compile(p), c) for m, k, p, c in PATTERNS]
+        self.names = [(t, re.compile(r"(?i)(?<!\w)" + r"\s+".join(map(re.escape, n.split())) + r"(?!\w)")) for t, n in names if n.split() and len(n) <= MAX_NAME]
+
+    def __call__(self, text: str) -> list[tuple]:
+        found = []
+        for method, kind, pattern, confidence in self.patterns:
+            for m in pattern.finditer(text):
+                value = _checked(kind, m[0])
+                if value is not None:
+                    found.append((REGEX_PRIORITY, m.start(), m.end(), kind, value, value, m[0], confidence, method))
+        for kind, pattern in self.names:
+            for m in pattern.finditer(text):
+                value = _person(m[0]) if kind == "PERSON" else m[0].strip()
+                if value:
+                    found.append((GAZETTEER_PRIORITY, m.start(), m.end(), kind, value, " ".join(value.split()).lower(), m[0], GAZETTEER_CONFIDENCE[kind], "gazetteer"))
+        taken: list[tuple] = []
+        for s in sorted(found, key=lambda s: (s[0], s[1] - s[2])):
+            if all(s[2] <= t[1] or s[1] >= t[2] for t in taken):
+                taken.append(s)
+        return sorted(taken, key=lambda s: s[1:3])
 
 
 def extract_spans(docs: DataFrame, names: list[tuple[str, str]] = (), cap: int | None = None) -> DataFrame:
-    """Spans of each text after overlap resolution: the lower priority, then
-    the longer, wins; numbered in order of place. Whole texts are read unless
-    a cap on their characters is given."""
-    patterns = [(k, re.compile(p), c, pr) for k, p, c, pr in PATTERNS]
-    listed = [(t, re.compile(r"(?i)(?<!\w)" + r"\s+".join(map(re.escape, n.split())) + r"(?!\w)"), GAZETTEER_CONFIDENCE[t], 2) for t, n in names]
+    """The entities of each text of docs(doc_id, text): of overlapping spans
+    the method of lower priority, then the longer span, then the pattern
+    listed first wins; numbered in order of place. A match without a normal
+    form is none. Whole texts are read unless a cap on their characters is
+    given. names: (PERSON or LOCATION, name), sent to every task."""
+    finder = docs.sparkSession.sparkContext.broadcast(list(names))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames):
+        find = SpanFinder(finder.value)
         for pdf in frames:
-            rows = []
-            for doc, text in zip(pdf.doc_id, pdf.text):
-                text = (text or "")[:cap]
-                spans = [(pr, m.start() - m.end(), m.start(), m.end(), k, m[0], c) for k, p, c, pr in patterns + listed for m in p.finditer(text)]
-                taken: list[tuple] = []
-                for s in sorted(spans, key=lambda s: s[:2]):
-                    if all(s[3] <= t[2] or s[2] >= t[3] for t in taken):
-                        taken.append(s)
-                rows += [(doc, f"temp_{i:03d}", s[4], s[2], s[3], s[5], s[6]) for i, s in enumerate(sorted(taken, key=lambda s: s[2:4]), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "span_id", "type", "start", "end", "raw", "confidence"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, span_id string, type string, start long, end long, raw string, confidence double")
+            rows = [
+                (doc, f"temp_{i:03d}", s[3], s[4], s[5], s[6], s[1], s[2], s[7], s[8], BACKEND)
+                for doc, text in zip(pdf.doc_id, pdf.text)
+                for i, s in enumerate(find((text or "")[:cap]), 1)
+            ]
+            out = pd.DataFrame(rows, columns=["doc_id", *(c.split()[0] for c in SPANS.split(", "))])
+            out["doc_id"] = out["doc_id"].astype(pdf.doc_id.dtype)
+            yield out
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {SPANS}")
+
+
+# What is read of each dataset, text fields or identifiers.
+TEXT_FIELD = {"FIR": "text", "VEHICLE": "owner_name", "LOCATION": "name"}
+
+
+def renumbered(found: DataFrame) -> DataFrame:
+    """Entities of an upload's records numbered through the upload, in the
+    order of record, then of place in it. found has upload_id, record, place."""
+    order = Window.partitionBy("upload_id").orderBy("record", "place")
+    return found.withColumn("id", F.format_string("temp_%03d", F.row_number().over(order)))

@@ -1,6 +1,6 @@
 import pytest
 
-from inquiro.operators import extract, graph, resolve
+from inquiro.operators import graph
 
 
 def build(spark, pairs, ids):
@@ -25,26 +25,3 @@ def test_two_cliques(spark):
     assert dict(graph.components(adj, nodes).collect()) == {**{x: "a" for x in "abcdef"}, "g": "g"}
 
 
-def test_fuzzy_needs_evidence(spark):
-    rows = [(1, "PERSON", "Rahul Sharma", ["p1"]), (2, "PERSON", "Rahul S Sharma", ["p1"]), (3, "PERSON", "Rahul Sharmaa", ["p9"])]
-    got = resolve.fuzzy_matches(spark.createDataFrame(rows, "id long, type string, name string, evidence array<string>")).collect()
-    assert [(r.id, r.into) for r in got] == [(2, 1)]
-
-
-def test_spans_do_not_overlap(spark):
-    docs = spark.createDataFrame([(1, "Rahul Sharma called +91 98765 43210 on 2026-01-02 from DL01AB1234 via ACC-001"), (2, None)], "doc_id long, text string")
-    got = extract.extract_spans(docs, [("PERSON", "rahul sharma")]).orderBy("start").collect()
-    assert [r.type for r in got] == ["PERSON", "PHONE", "DATE", "VEHICLE", "ACCOUNT"]
-    assert {(r.type, r.value) for r in extract.extract_values(docs).collect()} >= {("PHONE", "+919876543210"), ("ACCOUNT", "ACC001")}
-
-
-def test_gazetteer_names_of_several_words(spark):
-    docs = spark.createDataFrame([(1, "Rahul  Sharma met Anil in New Delhi."), (2, "rahul verma"), (3, None), (4, "")], "doc_id long, text string")
-    names = spark.createDataFrame([("PERSON", "Rahul Sharma"), ("LOCATION", "New Delhi"), ("PERSON", "Anil")], "type string, name string")
-    got = {tuple(r) for r in extract.gazetteer_hits(docs, names).collect()}
-    assert got == {(1, "PERSON", "Rahul Sharma"), (1, "LOCATION", "New Delhi"), (1, "PERSON", "Anil")}
-
-
-def test_spans_read_whole_texts(spark):
-    docs = spark.createDataFrame([(1, "x " * 150_000 + "+919876543210")], "doc_id long, text string")
-    assert extract.extract_spans(docs).first().start == 300_000
