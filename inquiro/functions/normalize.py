@@ -54,23 +54,12 @@ def timestamp(c: Column) -> Column:
     """ISO text in UTC to the second, of dates and times with year, month and
     day in that order; offsets are taken off, fractions cut, one Z at the end
     is ignored. The session time zone must be UTC."""
-    t = whitespace(F.regexp_replace(whitespace(c), r"Z$", ""))
-    plain = t.rlike(_PLAIN)
-
-    def part(k: int, iso: int | None = None, other: int | None = None) -> Column:
-        found = F.regexp_extract(t, _PLAIN, k)
-        if other:
-            found = F.when(found == "", F.regexp_extract(t, _PLAIN, other)).otherwise(found)
-        found = F.when(plain, found).otherwise(F.regexp_extract(t, _ISO, iso or k))
-        return F.lpad(F.when(found == "", "0").otherwise(found), 2, "0")
-
-    year = F.substring(t, 1, 4)
-    text = F.concat(year, F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4, other=7), F.lit(":"), part(5, other=8), F.lit(":"), part(6))
-    ahead = sum(F.coalesce(F.regexp_extract(t, _ISO, g).try_cast("int"), F.lit(0)) * unit for g, unit in ((8, 3600), (9, 60), (10, 1)))
-    ahead = F.when(F.regexp_extract(t, _ISO, 7) == "-", -ahead).otherwise(ahead)
-    shift = F.when(plain, F.lit(0)).otherwise(ahead)
-    moment = F.when(plain | t.rlike(_ISO), F.try_to_timestamp(text))
-    return F.date_format(F.timestamp_seconds(F.unix_timestamp(moment) - shift), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    t = F.regexp_replace(whitespace(c), r" ?Z$", "")
+    padded = F.regexp_replace(t, r"(?<=[-T :])(\d)(?=[-T :]|$)", "0$1")
+    # a space before the time, minutes after a lone hour, a point, a colon in the offset
+    iso = F.regexp_replace(F.regexp_replace(t, r"^(.{10}).(\d{2})(?=$|[+-])", "$1 $2:00"), r"^(.{10}).", "$1 ")
+    iso = F.regexp_replace(F.regexp_replace(F.regexp_replace(iso, ",", "."), r"(:[\d.]+[+-]\d{2})$", "$1:00"), r"(:[\d.]+[+-]\d{2})(\d{2})$", "$1:$2")
+    return F.date_format(F.try_to_timestamp(F.when(t.rlike(_PLAIN), padded).when(t.rlike(_ISO), iso)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def date(c: Column) -> Column:

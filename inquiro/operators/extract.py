@@ -32,7 +32,11 @@ SPANS = "span_id string, type string, value string, normalized_value string, raw
 def extract_values(docs: DataFrame) -> DataFrame:
     """(doc_id, type, raw, value, confidence): every pattern match whose
     normal form exists, by built-in expressions in one pass over the texts."""
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda raw, kind=kind, c=c: F.struct(F.lit(kind).alias("type"), raw.alias("raw"), F.lit(c).alias("confidence"))) for _, kind, p, c in PATTERNS]
+
+    def hits(kind: str, pattern: str, confidence: float) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda raw: F.struct(F.lit(kind).alias("type"), raw.alias("raw"), F.lit(confidence).alias("confidence")))
+
+    found = [hits(kind, p, c) for _, kind, p, c in PATTERNS]
     each = docs.select("doc_id", F.explode(F.concat(*found)).alias("e")).select("doc_id", "e.*")
     value = reduce(lambda out, kind: out.when(F.col("type") == kind, _NORMAL[kind](F.col("raw"))), _NORMAL, F)
     return each.select("doc_id", "type", "raw", value.alias("value"), "confidence").filter(F.col("value").isNotNull())

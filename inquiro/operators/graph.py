@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inquiro.operators import stars
+from inquiro.operators.numbering import numbered
 from inquiro.storage import materialize
 
-BROADCAST_EDGES = 2_000_000  # adjacency above this is not sent to the tasks
+ROWS = 20_000_000  # of (source, edge) that a block of betweenness walks at once
+SWEEP_EDGES = 2_000_000  # a component with more is not swept in order
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -50,11 +51,45 @@ def minmax(scores: DataFrame, column: str) -> DataFrame:
     return scores.withColumn(column, (F.col(column) - F.lit(b.lo or 0.0)) / F.lit(spread) if spread else F.lit(0.0))
 
 
-def neighborhood(edges: DataFrame, start: str, depth: int, types: list[str] | None = None) -> DataFrame:
-    """(id, dist) within `depth` undirected hops of start: one frontier join
-    a hop, the visited nodes anti-joined."""
+# Relationship types, their alias, how deep and how much.
+REL_TYPES = ("CALLED", "MET", "LOCATED_AT", "OWNS", "USED", "TRANSFERRED_TO", "ASSOCIATED_WITH", "MENTIONED_IN", "WORKS_FOR", "TRAVELLED_TO")
+REL_ALIASES = {"USES": "USED"}
+MAX_DEPTH, NODE_LIMITS, EDGE_LIMITS = 3, (100, 500), (300, 1500)
+
+
+def relation(c: Column) -> Column:
+    """The relationship type, aliases resolved; null if it is none of ours."""
+    known = c
+    for alias, name in REL_ALIASES.items():
+        known = F.when(known == alias, name).otherwise(known)
+    return F.when(known.isin(*REL_TYPES), known)
+
+
+def clamp(limit: int, default: int, most: int) -> int:
+    """0 means the default; else between 1 and the most."""
+    return max(1, min(int(limit), most)) if int(limit) else default
+
+
+def check_depth(depth: int) -> int:
+    if not 1 <= int(depth) <= MAX_DEPTH:
+        raise ValueError("INVALID_DEPTH")
+    return int(depth)
+
+
+def check_types(values: list[str] | None, allowed: tuple[str, ...]) -> list[str] | None:
+    if unknown := sorted(set(values or ()) - set(allowed)):
+        raise ValueError(f"INVALID_FILTER: {unknown}")
+    return list(values) if values else None
+
+
+def neighborhood(edges: DataFrame, start: str, depth: int, types: list[str] | None = None, nodes: DataFrame | None = None, labels: list[str] | None = None) -> DataFrame:
+    """(id, dist) within `depth` undirected hops of start over edges of the
+    given types and, if labels are given, nodes(id, label) of those labels:
+    one frontier join a hop, the visited nodes anti-joined."""
     e = edges.filter(F.col("type").isin(types)) if types else edges
     both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+    if labels:
+        both = both.join(nodes.filter(F.col("label").isin(labels)).select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, dist int")
     front = seen
     for hop in range(1, depth + 1):
@@ -64,61 +99,97 @@ def neighborhood(edges: DataFrame, start: str, depth: int, types: list[str] | No
     return seen
 
 
+def subgraph(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, types: list[str] | None = None, labels: list[str] | None = None, limit_nodes: int = 0, limit_edges: int = 0) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes with dist, edges, truncated): what lies within `depth` hops.
+
+    An edge belongs to it if one end is nearer than depth and the other
+    passes the label filter, that is, if a walk of that length uses it. Limits
+    are the feature's; the nearest nodes and first edges by id are kept.
+    """
+    check_depth(depth)
+    types = check_types(types, REL_TYPES)
+    most_nodes, most_edges = clamp(limit_nodes, *NODE_LIMITS), clamp(limit_edges, *EDGE_LIMITS)
+    near = materialize(neighborhood(edges, start, depth, types, nodes, labels))
+    inner = near.filter(F.col("dist") < depth).select("id")
+    e = edges.filter(F.col("type").isin(types)) if types else edges
+    out = e.join(inner.select(F.col("id").alias("src"), F.lit(1).alias("s")), "src", "left").join(inner.select(F.col("id").alias("dst"), F.lit(1).alias("d")), "dst", "left").filter("s is not null or d is not null").drop("s", "d")
+    ends = near.select("id")
+    out = out.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+    if labels:  # a walk enters each node but the first through the filter; a loop at the start does not pass
+        fit = nodes.filter(F.col("label").isin(labels)).select("id")
+        bad = (F.col("src") == start) & (F.col("dst") == start)
+        out = out.filter(~bad) if not fit.filter(F.col("id") == start).take(1) else out
+    found = near.join(nodes, "id").orderBy("dist", "id").limit(most_nodes + 1)
+    kept_edges = out.orderBy("edge_id").limit(most_edges + 1)
+    found, kept_edges = materialize(found), materialize(kept_edges)
+    truncated = found.count() > most_nodes or kept_edges.count() > most_edges
+    return found.orderBy("dist", "id").limit(most_nodes), kept_edges.orderBy("edge_id").limit(most_edges), truncated
+
+
 def components(adj: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the least id reachable; isolates are their own."""
     roots = stars.components(adj).withColumnRenamed("node", "id")
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def betweenness(nodes: DataFrame, adj: DataFrame, *, max_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """(id, betweenness): exact, sources in parallel over a broadcast
-    adjacency of checked size. Larger graphs must be cut to a snapshot first,
-    as exact betweenness takes nodes x edges steps."""
-    if adj.count() > 2 * max_edges:
-        raise ValueError(f"over {max_edges} edges: take a snapshot of the graph first")
-    ids = [r.id for r in nodes.select("id").orderBy("id").toLocalIterator()]
-    at = {x: i for i, x in enumerate(ids)}
-    pairs = np.array([(at[r.a], at[r.b]) for r in adj.orderBy("a", "b").toLocalIterator()], dtype=np.int64).reshape(-1, 2)
-    n = len(ids)
-    sent = nodes.sparkSession.sparkContext.broadcast((n, pairs[:, 0], pairs[:, 1]))
-
-    def walk(frames):
-        n, src, dst = sent.value
-        total = np.zeros(n)
-        for pdf in frames:
-            for s in pdf.s:
-                dist, sigma = np.full(n, -1), np.zeros(n)
-                dist[s], sigma[s], levels = 0, 1, []
-                while True:
-                    d = len(levels)
-                    on = dist[src] == d
-                    fresh = on & (dist[dst] == -1)
-                    dist[dst[fresh]] = d + 1
-                    step = on & (dist[dst] == d + 1)
-                    if not step.any():
-                        break
-                    np.add.at(sigma, dst[step], sigma[src[step]])
-                    levels.append((src[step], dst[step]))
-                delta = np.zeros(n)
-                for a, b in reversed(levels):
-                    np.add.at(delta, a, sigma[a] / sigma[b] * (1 + delta[b]))
-                delta[s] = 0
-                total += delta
-        yield pd.DataFrame({"i": np.arange(n), "x": total})
-
-    scale = (n - 1) * (n - 2) if n > 2 else 1
-    sources = nodes.sparkSession.range(n).select(F.col("id").alias("s")).repartition(max(1, min(n, 64)))
-    summed = sources.mapInPandas(walk, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    named = nodes.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "i": range(n)}), "id string, i long")
-    return named.join(summed, "i", "left").select("id", (F.coalesce("x", F.lit(0.0)) / F.lit(float(scale))).alias("betweenness") if n > 2 else F.lit(0.0).alias("betweenness"))
-
-
-def communities(nodes: DataFrame, adj: DataFrame, *, passes: int = 10) -> DataFrame:
-    """(id, community): local moves of modularity, one component a group;
-    moves never leave a component, so this equals one sweep over all nodes.
-    Communities are numbered by their least member."""
-    comp = components(adj, nodes)
+def betweenness(nodes: DataFrame, adj: DataFrame, *, rows: int = ROWS) -> DataFrame:
+    """(id, betweenness): exact, over all shortest paths.
+
+    Sources are dealt into blocks of about `rows` (source, edge) pairs. A
+    block walks breadth first from all its sources at once: a level is the
+    frontier joined with the edges, path counts summed a (source, node), the
+    level before and the same one anti-joined (an undirected edge reaches no
+    other). Then dependencies are summed level by level on the way back.
+    Nothing but counts reaches the driver. Exact betweenness takes nodes x
+    edges steps; blocks bound the space, not the time.
+    """
+    n, m = nodes.count(), adj.count()
+    if n < 3:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    adj = materialize(adj.repartition("a"))
+    blocks = max(1, -(-n * m // rows))
+    total = None
+    for k in range(blocks):
+        own = nodes.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        levels = [materialize(own.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+        while True:
+            step = levels[-1].join(adj, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+            before = levels[-1].select("s", "v") if len(levels) < 2 else levels[-1].select("s", "v").unionByName(levels[-2].select("s", "v"))
+            new = materialize(step.join(before, ["s", "v"], "left_anti"))
+            if not new.take(1):
+                break
+            levels.append(new)
+        back = None  # (s, v, paths, share) of the level behind
+        for level in range(len(levels) - 1, 0, -1):
+            here = levels[level].select("s", "v", "paths", F.lit(0.0).alias("share"))
+            if back is not None:
+                got = back.join(adj, F.col("v") == F.col("a")).select("s", F.col("b").alias("v"), ((1 + F.col("share")) / F.col("paths")).alias("x")).groupBy("s", "v").agg(F.sum("x").alias("x"))
+                here = levels[level].join(got, ["s", "v"], "left").select("s", "v", "paths", (F.coalesce("x", F.lit(0.0)) * F.col("paths")).alias("share"))
+            back = materialize(here)
+            part = back.groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("x"))
+            total = part if total is None else total.unionByName(part)
+    scale = float((n - 1) * (n - 2))
+    if total is None:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    summed = total.groupBy("id").agg(F.sum("x").alias("x"))
+    return nodes.select("id").join(summed, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) / scale).alias("betweenness"))
+
+
+def communities(nodes: DataFrame, adj: DataFrame, *, passes: int = 10, sweep_edges: int = SWEEP_EDGES) -> DataFrame:
+    """(id, community): local moves of modularity, numbered by least member.
+
+    The rule visits nodes one after the other in order, so it is sequential
+    within a component and independent between components: each component is
+    swept in one task, which equals one sweep over all. That holds for
+    components of at most `sweep_edges` edges. A larger one would not fit a
+    task; there all nodes of one half (by hash and round) move at once by the
+    same gain, in joins, which gives communities of the same kind but not the
+    same ones. Both kinds may occur in one graph.
+    """
+    comp = materialize(components(adj, nodes))
     m2 = adj.count()
+    sized = comp.join(adj.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("k")), "id", "left").groupBy("component").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("size"))
+    large = materialize(sized.filter(F.col("size") > 2 * sweep_edges).select("component"))
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf.a) | set(pdf.b.dropna()))
@@ -150,14 +221,112 @@ def communities(nodes: DataFrame, adj: DataFrame, *, passes: int = 10) -> DataFr
             first.setdefault(c, names[v])
         return pd.DataFrame({"id": names, "first": [first[c] for c in own]})
 
-    rows = comp.select(F.col("id").alias("a"), "component").join(adj, "a", "left")
+    small = comp.join(large, "component", "left_anti")
+    rows = small.select(F.col("id").alias("a"), "component").join(adj, "a", "left")
     placed = materialize(rows.groupBy("component").applyInPandas(sweep, "id string, first string"))
-    firsts = placed.select("first").distinct().orderBy("first")
-    number = firsts.selectExpr("first", "row_number() over (order by first) - 1 as community")
-    return placed.join(number, "first").select("id", F.col("community").cast("long").alias("community"))
+    if large.take(1):
+        placed = placed.unionByName(_moved_at_once(comp.join(large, "component", "left_semi").select("id"), adj, m2, 2 * passes))
+    number = numbered(placed.select("first").distinct(), "first", name="community")
+    return placed.join(number, "first").select("id", (F.col("community") - 1).alias("community"))
+
+
+def _moved_at_once(nodes: DataFrame, adj: DataFrame, m2: int, rounds: int) -> DataFrame:
+    """(id, first): local moves of all nodes of a half at a time."""
+    near = materialize(adj.join(nodes.select(F.col("id").alias("a")), "a", "left_semi"))
+    degree = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("k"))
+    state = materialize(degree.select("id", "k", F.col("id").alias("own")))
+    for r in range(rounds):
+        strength = state.groupBy(F.col("own").alias("c")).agg(F.sum("k").alias("all"))
+        links = near.join(state.select(F.col("id").alias("b"), F.col("own").alias("c")), "b").groupBy(F.col("a").alias("id"), "c").agg(F.count("*").alias("w"))
+        links = links.unionByName(state.select("id", F.col("own").alias("c"), F.lit(0).cast("long").alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
+        mine = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
+        others = F.col("all") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
+        gain = F.round((F.col("w") - others * F.col("k") / m2) / m2, 12)
+        choice = links.join(state.filter(mine), "id").join(strength, "c").withColumn("gain", gain).filter("gain > 0")
+        best = choice.groupBy("id").agg(F.min_by("c", F.struct(-F.col("gain"), "c")).alias("to"))
+        moved = materialize(state.join(best, "id", "left").select("id", "k", F.coalesce("to", "own").alias("own"), (F.coalesce("to", "own") != F.col("own")).alias("went")))
+        state = moved.select("id", "k", "own")
+        if r % 2 and not moved.filter("went").take(1):
+            break
+    first = state.groupBy("own").agg(F.min("id").alias("first"))
+    return state.join(first, "own").select("id", "first")
+
+
+def community_sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("community").agg(F.count("*").alias("size"))
+
+
+def analyze(nodes: DataFrame, adj: DataFrame) -> DataFrame:
+    """(id, degree, pagerank, betweenness): PageRank from 0 to 1 over all
+    nodes, betweenness as it is."""
+    rank = minmax(pagerank(nodes, adj), "pagerank")
+    return degrees(nodes, adj).join(rank, "id").join(betweenness(nodes, adj), "id")
 
 
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges of `new` that `old` lacks, the first of each id."""
     once = new.groupBy("edge_id").agg(F.min_by(F.struct(*[c for c in new.columns if c != "edge_id"]), "source").alias("e")).select("edge_id", "e.*")
     return once.join(old.select("edge_id"), "edge_id", "left_anti")
+
+
+def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new, the first of each id, with `created`: whether old lacks it."""
+    once = new.dropDuplicates(["id"])
+    return once.join(old.select("id", F.lit(True).alias("_had")), "id", "left").withColumn("created", F.col("_had").isNull()).drop("_had")
+
+
+def write_counts(old_nodes: DataFrame, old_edges: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes and relationships created and existing, and edges
+    skipped because an end was not built."""
+    n = merge_nodes(old_nodes, nodes).agg(F.count_if("created").alias("nodes_created"), F.count_if(~F.col("created")).alias("nodes_existing"))
+    built = edges.join(nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+    once = built.dropDuplicates(["edge_id"]).join(old_edges.select("edge_id", F.lit(True).alias("_had")), "edge_id", "left")
+    e = once.agg(F.count_if(F.col("_had").isNull()).alias("relationships_created"), F.count_if(F.col("_had").isNotNull()).alias("relationships_existing"))
+    skipped = edges.agg(F.count("*").alias("_all")).crossJoin(built.agg(F.count("*").alias("_built"))).select((F.col("_all") - F.col("_built")).alias("skipped"))
+    return n.crossJoin(e).crossJoin(skipped)  # one row each
+
+
+def skipped_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge_id, reason) of edges whose ends were not both built."""
+    ids = nodes.select("id").distinct()
+    out = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").select("edge_id").unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("edge_id"))
+    return out.distinct().withColumn("reason", F.lit("endpoint node not built"))
+
+
+def missing(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """The wanted ids that are not there (empty: verified)."""
+    return wanted.select(key).distinct().join(present.select(key), key, "left_anti")
+
+
+def repeated_ids(nodes: DataFrame) -> DataFrame:
+    """(label, id, n): ids that a label has more than once; none if unique."""
+    return nodes.groupBy("label", "id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def get_entity(nodes: DataFrame, entity_id: str) -> DataFrame:
+    return nodes.filter(F.col("id") == entity_id)
+
+
+def shared_contact_reach(pairs: DataFrame) -> DataFrame:
+    """(person, reach): how many others share a contact with each person of
+    pairs(person, contact).
+
+    Persons get numbers; a contact's persons are a bit set in blocks of 32,768
+    numbers, a person's reach the bits of the union of their contacts' sets. A
+    contact of p persons costs p rows for each block it has, so a popular one
+    costs p x blocks, not p x p.
+    """
+    pairs = materialize(pairs.distinct())
+    number = numbered(pairs.select("person").distinct(), "person")
+    tagged = pairs.join(number, "person").withColumn("n", F.col("n") - 1)
+    sets = tagged.groupBy("contact", F.expr("bitmap_bucket_number(n)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(n))").alias("bits"))
+    union = pairs.join(sets, "contact").groupBy("person", "block").agg(F.expr("bitmap_count(bitmap_or_agg(bits))").alias("k"))
+    return union.groupBy("person").agg((F.sum("k") - 1).alias("reach")).filter("reach > 0")
+
+
+def snapshot(nodes: DataFrame, edges: DataFrame, most_nodes: int = 2000, most_edges: int = 5000) -> tuple[DataFrame, DataFrame, tuple[bool, bool]]:
+    """(first nodes by id, first edges by id, whether there are more of each):
+    one row over a cap shows that it cuts."""
+    n = materialize(nodes.orderBy("id").limit(most_nodes + 1))
+    e = materialize(edges.orderBy("edge_id").limit(most_edges + 1))
+    return n.orderBy("id").limit(most_nodes), e.orderBy("edge_id").limit(most_edges), (n.count() > most_nodes, e.count() > most_edges)

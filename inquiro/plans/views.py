@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inquiro.operators.features import leg
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +32,17 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("person", F.to_date("ts").alias("day"), F.concat(F.lit("L"), (F.col("k") % 10).cast("string")).alias("location"))
 
 
+def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity legs of all events in one scan: both sides of a call or a
+    transfer, and the place of the acting person."""
+    e = _events(spark, sf_dir)
+    me, other = F.col("person"), F.concat(F.lit("K"), F.col("k").cast("string"))
+    paid = F.col("event_type") == "purchase"
+    sides = [F.when(paid, leg(x, "transfer", F.col("ts"), amount=F.col("value"))).otherwise(leg(x, "call", F.col("ts"), contact=y, duration=F.col("value"))) for x, y in ((me, other), (other, me))]
+    place = leg(me, "place", F.to_date("ts"), location=F.concat(F.lit("L"), (F.col("k") % 10).cast("string")))
+    return e.select(F.explode(F.array(*sides, place)).alias("l")).select("l.*")
+
+
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("person").distinct()
 
@@ -67,17 +80,56 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))
 
 
+def _number(x):
+    return (x + 9000000000).cast("string")
+
+
 def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw call records as a file holds them: every 50th caller is no phone,
     every 70th timestamp is missing."""
     e, i = _events(spark, sf_dir).filter("event_type <> 'purchase'"), F.col("event_id")
-    number = lambda x: (x + 9000000000).cast("string")
     return e.select(
-        F.concat(F.lit("CDR_"), i.cast("string")).alias("cdr_id"), F.when(i % 50 == 0, "12345").otherwise(number(F.substring("person", 2, 12).cast("bigint"))).alias("caller"), number(F.col("k")).alias("receiver"),
+        F.concat(F.lit("CDR_"), i.cast("string")).alias("cdr_id"), F.when(i % 50 == 0, "12345").otherwise(_number(F.substring("person", 2, 12).cast("bigint"))).alias("caller"), _number(F.col("k")).alias("receiver"),
         F.when(i % 70 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"), F.floor(F.abs("value")).cast("string").alias("duration"),
     )
 
 
+def transfer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transfers: every 40th amount is negative, every 60th id is bad and
+    every 45th currency is missing."""
+    e, i = _events(spark, sf_dir).filter("event_type = 'purchase'"), F.col("event_id")
+    return e.select(
+        F.concat(F.when(i % 60 == 0, "TXN #").otherwise("TXN_"), i.cast("string")).alias("transaction_id"), F.concat(F.lit("acc-"), "person").alias("sender_account"), F.concat(F.lit("acc U"), F.col("k").cast("string")).alias("receiver_account"),
+        F.when(i % 40 == 0, "-1").otherwise(F.abs("value").cast("string")).alias("amount"), F.when(i % 45 == 0, " ").otherwise("inr").alias("currency"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+    )
+
+
+def vehicle_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw registrations: every 30th plate is no plate, every 35th owner is
+    missing."""
+    k = F.col("p_partkey")
+    plate = F.concat(F.lit("dl-"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" ab "), F.lpad((k % 10000).cast("string"), 4, "0"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("V"), k.cast("string")).alias("vehicle_id"), F.when(k % 30 == 0, "DL1A1").otherwise(plate).alias("registration_number"), F.when(k % 35 != 0, F.concat(F.lit(" "), "p_brand")).alias("owner_name"))
+
+
+def location_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw places: every 9th latitude is out of range, every 10th longitude no
+    number, every 11th name missing."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("LOC_"), k.cast("string")).alias("location_id"), F.when(k % 11 != 0, F.concat(F.lit("Place  "), (k % 25).cast("string"))).alias("name"), F.when(k % 9 == 0, "90.5").otherwise((k % 90).cast("string")).alias("latitude"), F.when(k % 10 == 0, "east").otherwise((k % 180).cast("string")).alias("longitude"))
+
+
+def report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw reports: every 20th date is in another order, every 21st text blank."""
+    n, k = narratives(spark, sf_dir), F.col("doc_id")
+    day = F.substring("text", 4, 10)
+    turned = F.concat(F.substring(day, 9, 2), F.lit("/"), F.substring(day, 6, 2), F.lit("/"), F.substring(day, 1, 4))
+    return n.select(F.concat(F.lit("FIR_"), k.cast("string")).alias("fir_id"), F.when(k % 20 == 0, turned).otherwise(day).alias("date"), F.when(k % 21 == 0, "  ").otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("police_station"), F.lit("web").alias("source"))
+
+
+RECORDS = {"FIR": report_records, "CDR": call_records, "TRANSACTION": transfer_records, "VEHICLE": vehicle_records, "LOCATION": location_records}
+
+
 #: The same views in DuckDB's SQL, as a WITH list.
 SQL = """
 ev AS (SELECT event_id, ts, event_type, value, concat('U', user_id) AS person, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),

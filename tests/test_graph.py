@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from inquiro.operators import graph
 
@@ -25,3 +28,73 @@ def test_two_cliques(spark):
     assert dict(graph.components(adj, nodes).collect()) == {**{x: "a" for x in "abcdef"}, "g": "g"}
 
 
+
+
+def shortest_paths(adj, nodes):
+    """Betweenness by counting every pair's shortest paths."""
+    score = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        dist, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for u in sorted(adj[v]):
+                if u not in dist:
+                    dist[u], paths[u] = dist[v] + 1, 0.0
+                    order.append(u)
+                if dist[u] == dist[v] + 1:
+                    paths[u] += paths[v]
+        share = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in adj[v]:
+                if dist[u] == dist[v] - 1:
+                    share[u] += paths[u] / paths[v] * (1 + share[v])
+            if v != s:
+                score[v] += share[v]
+    n = len(nodes)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in score.items()}
+
+
+def test_betweenness_in_blocks(spark):
+    rnd = random.Random(3)
+    ids = [f"n{i:02d}" for i in range(30)]
+    pairs = [(rnd.choice(ids[:25]), rnd.choice(ids[:25])) for _ in range(40)]
+    nodes, _, adj = build(spark, pairs, ids)
+    near = {v: set() for v in ids}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = shortest_paths(near, ids)
+    for rows in (400, 10_000_000):
+        assert dict(graph.betweenness(nodes, adj, rows=rows).collect()) == pytest.approx(want)
+
+
+def test_communities_of_a_large_component(spark):
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(6) for j in range(i)] + [("a0", "b0"), ("b1", "c1")]
+    nodes, _, adj = build(spark, pairs, sorted({x for p in pairs for x in p} | {"z"}))
+    for edges in (2_000_000, 3):
+        got = dict(graph.communities(nodes, adj, sweep_edges=edges).collect())
+        assert {c: {got[f"{c}{i}"] for i in range(6)} for c in "abc"} == {"a": {0}, "b": {1}, "c": {2}} and got["z"] == 3
+    assert {r.community: r["size"] for r in graph.community_sizes(graph.communities(nodes, adj)).collect()} == {0: 6, 1: 6, 2: 6, 3: 1}
+
+
+def test_subgraph(spark):
+    rows = [("e1", "a", "b", "CALLED"), ("e2", "b", "c", "OWNS"), ("e3", "c", "d", "CALLED"), ("e4", "b", "d", "CALLED"), ("e5", "c", "c", "CALLED")]
+    edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, type string")
+    nodes = spark.createDataFrame([("a", "Person"), ("b", "Phone"), ("c", "Vehicle"), ("d", "Phone")], "id string, label string")
+
+    def ids(*args, **kw):
+        n, e, cut = graph.subgraph(nodes, edges, *args, **kw)
+        return [r.id for r in n.collect()], [r.edge_id for r in e.collect()], cut
+
+    assert ids("a") == (["a", "b"], ["e1"], False) and ids("a", 2) == (["a", "b", "c", "d"], ["e1", "e2", "e4"], False)
+    assert ids("a", 3)[1] == ["e1", "e2", "e3", "e4", "e5"] and ids("a", 2, ["CALLED"]) == (["a", "b", "d"], ["e1", "e4"], False)
+    assert ids("a", 2, None, ["Phone"]) == (["a", "b", "d"], ["e1", "e4"], False) and ids("a", 3, limit_nodes=2, limit_edges=1) == (["a", "b"], ["e1"], True)
+    for bad in (lambda: ids("a", 4), lambda: ids("a", 1, ["KNOWS"])):
+        with pytest.raises(ValueError):
+            bad()
+    assert (graph.clamp(0, 100, 500), graph.clamp(900, 100, 500), graph.clamp(-3, 100, 500)) == (100, 500, 1)
+    types = spark.createDataFrame([("USES",), ("OWNS",), ("KNOWS",)], "t string")
+    assert [r.x for r in types.select(graph.relation(F.col("t")).alias("x")).collect()] == ["USED", "OWNS", None]
+    assert [r.edge_id for r in graph.skipped_edges(nodes.filter("id <> 'd'"), edges).orderBy("edge_id").collect()] == ["e3", "e4"]
+    assert graph.repeated_ids(nodes.union(nodes.limit(1))).count() == 1 and graph.missing(nodes, nodes.limit(3), "id").count() == 1
+    assert {r.person: r.reach for r in graph.shared_contact_reach(spark.createDataFrame([("p", "x"), ("q", "x"), ("q", "y"), ("r", "y"), ("s", "z")], "person string, contact string")).collect()} == {"p": 1, "q": 2, "r": 1}
