@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inquiro.llm.common import arrow_type
+
 ESCAPE = "\\"
 CLOSE = "</turn>\n"
 TEMPLATE = """{% for m in messages %}<turn {{ m.role | escape }}>
@@ -335,12 +337,26 @@ class Reader:
         self.pending = self.pending[done:]
 
 
+def check_readable(template: str) -> None:
+    """TemplateError unless the reader finds the turns that go in: it knows
+    the marks of the default template, with any text between them."""
+    turns = [{"role": "user", "text": "a </turn> \\ b"}, {"role": "assistant", "text": "c\n<turn x>"}, {"role": "assistant", "text": ""}]
+    reader = Reader()
+    for piece, learn in compile_template(template)(iter(turns)):
+        reader.feed(piece, learn)
+    reader.drain()
+    said = "".join(f"{t['role']}\n{t['text']}\n" for t in turns)
+    learned = "".join(t["text"] for t in turns if t["role"] == "assistant")
+    if (reader.turns_hash.hexdigest(), reader.loss_hash.hexdigest()) != tuple(hashlib.sha256(x.encode()).hexdigest() for x in (said, learned)):
+        raise TemplateError("turns of this template cannot be read back")
+
+
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """Format every conversation of (conv_id, turn, role, text) and read it
     back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and
     formatted_chars."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    compile_template(template)  # errors show here
+    check_readable(template)  # errors show here
 
     def run(batches):
         render = compile_template(template)
@@ -366,7 +382,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=schema.names)
                 out = []
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = arrow_type(conversations.schema["conv_id"].dataType)
     schema = pa.schema([("conv_id", id_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     ordered = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -40,7 +40,7 @@ _BOILERPLATE = re.compile(
 
 def line_reason(line: str, *, symbol_share: float = 0.3, short: int = 4) -> str | None:
     """Why a line with words fails, or None."""
-    words = line.split()
+    words = [w for w in _SPACE.split(line) if w]
     if len(_SEPARATOR.findall(line)) >= 3 or all(w.strip(".,:>|").lower() in _MENU for w in words):
         return "navigation"
     marked = sum(1 for w in words if _SYMBOL.search(w)) if _SYMBOL.search(line) else 0

@@ -1,9 +1,11 @@
 """Sharding by balanced label propagation.
 
 Equal texts are one unit, documents that share a line are linked through
-that line. A unit larger than an eighth of a shard is split into pieces by
-its documents' hashes, so a group with a third of all rows spreads over the
-shards it needs. Units start in hashed shards; in each round every line
+that line; every line with a word counts, common ones for less. A group of
+equal texts larger than a shard is split into pieces by its documents'
+hashes, so one with a third of all rows spreads over the shards it needs.
+Smaller groups stay whole if the sizes come out even so (within `slack`);
+if not, those above an eighth of a shard are split too and dealt again. Units start in hashed shards; in each round every line
 takes the shard that holds most of its units' bytes, every unit asks for the
 shard that most of its lines (and its text's other pieces) favour, and moves
 under quotas: what flows from one shard to another is bounded by what flows
@@ -27,31 +29,28 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inquiro.llm.common import materialize
+from inquiro.llm.common import WORD, materialize
 
-SHARDS, ROUNDS, SLACK, LINE_CHARS = 16, 4, 0.03, 24
+SHARDS, ROUNDS, SLACK, PIECES = 16, 4, 0.03, (1, 8)
 _WISHES, _EVEN, _SLOT_ROWS, _HOT_LINES = 64, 4096, 20_000, 1000
 
 
-def _units(docs: DataFrame, n_shards: int) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, unit (of equal texts, in pieces)."""
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = materialize(docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64("text", F.crc32(data)).alias("grp")))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    limit = max(1, total // (8 * n_shards))
+def _units(rows: DataFrame, total: int, n_shards: int, pieces: int) -> DataFrame:
+    """rows with unit: of equal texts, those above 1 / pieces of a shard cut."""
+    limit = max(1, total // (pieces * n_shards))
     large = rows.groupBy("grp").agg(F.sum("size").alias("all")).filter(F.col("all") > limit).select("grp", F.ceil(F.col("all") / limit).cast("long").alias("parts"))
     piece = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts")))
-    # at most 8 groups a shard exceed the limit: the join's side is that small
+    # at most `pieces` groups a shard exceed the limit: the join's side is that small
     return rows.join(F.broadcast(large), "grp", "left").select("doc_id", "size", "text_crc32", "grp", F.xxhash64("grp", piece).alias("unit"))
 
 
-def line_links(docs: DataFrame, rows: DataFrame, line_chars: int) -> DataFrame:
+def line_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(unit, line, part, parts, w): lines that two units or more hold, and a
     text's own node where it has several pieces; w is what a unit's vote
     counts. A line with over 1/1000 of all links is dealt into parts by its
     units' hashes, so joins on (line, part) spread it; there are at most 1000
     such lines, and parts over one at most 1000 in all."""
-    line = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(x) >= line_chars)
+    line = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD))
     grp = F.xxhash64("text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     of_text = materialize(docs.select(grp.alias("grp"), F.explode(F.array_distinct(F.transform(line, lambda x: F.xxhash64(x)))).alias("line")).distinct())
     share = max(1, -(-of_text.count() // _HOT_LINES))
@@ -118,13 +117,14 @@ def _even(state: DataFrame, n_shards: int) -> DataFrame:
     for a, b, s in state.groupBy("shard", "bucket").agg(F.sum("size")).collect():  # bounded by the histogram
         hist[a, b] = s
     loads, goal, to = hist.sum(axis=1), hist.sum() / n_shards, []
-    for b in range(_EVEN):
+    for b in np.argsort(-hist.max(axis=0), kind="stable").tolist():  # the largest first
         for a in np.flatnonzero((hist[:, b] > 0) & (loads > goal)):
             low = int(loads.argmin())
-            if hist[a, b] <= loads[a] - goal and loads[low] + hist[a, b] < loads[a]:
+            if loads[low] + hist[a, b] < loads[a]:
                 to.append((int(a), b, low))
                 loads[a] -= hist[a, b]
                 loads[low] += hist[a, b]
+                hist[a, b] = 0
     moves = spark.createDataFrame(to, "shard int, bucket int, to int")
     return materialize(state.join(F.broadcast(moves), ["shard", "bucket"], "left").select("unit", F.coalesce("to", "shard").alias("shard")))
 
@@ -139,13 +139,20 @@ def number_slots(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(inside) - 1).join(base, ["shard", "b"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("k")).cast("long").alias("slot"))
 
 
-def shard_documents(docs: DataFrame, *, n_shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, line_chars: int = LINE_CHARS) -> DataFrame:
+def shard_documents(docs: DataFrame, *, n_shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, size, text_crc32, law, shard,
     slot and grown_shard (null under this law)."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(_units(docs, n_shards))
-    links = materialize(line_links(docs, rows, line_chars))
-    units = rows.groupBy("unit").agg(F.sum("size").alias("size"))
-    placed = propagate(units, links, n_shards, rounds, slack)
-    sharded = materialize(rows.join(placed, "unit").select("doc_id", "size", "text_crc32", "shard"))
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    sized = materialize(docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64("text", F.crc32(data)).alias("grp")))
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    for pieces in PIECES:
+        rows = materialize(_units(sized, total, n_shards, pieces))
+        links = materialize(line_links(docs, rows))
+        units = rows.groupBy("unit").agg(F.sum("size").alias("size"))
+        placed = propagate(units, links, n_shards, rounds, slack)
+        sharded = materialize(rows.join(placed, "unit").select("doc_id", "size", "text_crc32", "shard"))
+        loads = [r[0] for r in sharded.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]  # n_shards rows
+        if max(loads, default=0) <= (1 + slack) * total / n_shards:
+            break
     return number_slots(sharded).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -97,7 +97,10 @@ def tiled_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("parts"))  # 17^4 keys at most
     tiles = materialize(keyed.join(parts, "key").select("key", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"), "fp").groupBy("key", "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
     left = tiles.select(F.explode(F.array(*[F.lit(c).cast("long") for c in near_offsets(radius)])).alias("off"), (F.col("key") + F.col("off")).alias("key"), F.col("part").alias("l_part"), F.col("fps").alias("l_fps"))
-    pairs = left.join(tiles, "key").filter((F.col("off") > 0) | (F.col("l_part") <= F.col("part"))).select("l_fps", "fps", ((F.col("off") == 0) & (F.col("l_part") == F.col("part"))).alias("same"))
+    pairs = left.join(tiles, "key").filter((F.col("off") > 0) | (F.col("l_part") <= F.col("part")))
+    # one key may hold most tiles: its pairs are dealt anew, as comparisons outweigh their rows
+    deal = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(deal, "key", "off", "l_part", "part").select("l_fps", "fps", ((F.col("off") == 0) & (F.col("l_part") == F.col("part"))).alias("same"))
 
     def compare(batches):
         for batch in batches:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inquiro.llm.common import as_bytes, materialize, remainder_of_id, share, shared, text_slices
+from inquiro.llm.common import arrow_type, as_bytes, materialize, remainder_of_id, share, shared, text_slices
 
 DEPTH = 2
 MIN_SHARE = 2e-5
@@ -348,7 +348,7 @@ def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_rema
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(rows, pa.int64())], names=["doc_id", "text_hash", "word", "times", "row"])
 
     id_sql = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_sql]
+    id_type = arrow_type(docs.schema["doc_id"].dataType)
     keyed = docs.select("doc_id", "text", held.alias("held_out"), F.xxhash64("text").alias("text_hash"))
     scored = keyed.mapInArrow(score, f"doc_id {id_sql}, held_out boolean, text_hash long, n_tokens long, head_known long, head_log double, head_score double")
     rare = keyed.select("doc_id", "text", "text_hash").mapInArrow(tail, f"doc_id {id_sql}, text_hash long, word binary, times long, row long")

@@ -44,10 +44,10 @@ def whole_tokens(model_file: str) -> dict[str, int]:
 class TokenCounter:
     """Counts of texts; remembers up to `most` merged pre-tokens."""
 
-    def __init__(self, model_file: str, whole: dict[str, int], most: int = 300_000):
+    def __init__(self, model: bytes, whole: dict[str, int], most: int = 300_000):
         import sentencepiece
 
-        self.model, self.whole, self.most = sentencepiece.SentencePieceProcessor(model_file=model_file), whole, most
+        self.model, self.whole, self.most = sentencepiece.SentencePieceProcessor(model_proto=model), whole, most
         self.known = dict(whole)
 
     @staticmethod
@@ -75,10 +75,11 @@ class TokenCounter:
 def count_tokens(docs: DataFrame, model_file: str, *, limit: int = LIMIT) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_bytes, n_tokens, over_limit."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    proven = share(docs.sparkSession, whole_tokens(model_file))  # at most the vocabulary
+    with open(model_file, "rb") as f:  # the driver reads the model, tasks get its bytes
+        proven = share(docs.sparkSession, (f.read(), whole_tokens(model_file)))  # at most the vocabulary
 
     def count(batches):
-        counter = TokenCounter(model_file, shared(proven))
+        counter = TokenCounter(*shared(proven))
         for batch in text_slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n = counter(texts)

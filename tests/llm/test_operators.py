@@ -91,6 +91,7 @@ def test_line_rules(docs, rows, none):
     got = {(r.doc_id, r.n_words) for r in line_rules.clean_documents(docs).collect()}
     assert got == {(r[0], len(words(r[1]))) for r in rows}
     assert line_rules.line_reason("Home | News | Login | More") == "navigation" and line_rules.line_reason("a### b%%% c$$$") == "symbols"
+    assert line_rules.line_reason("\u00a0") == "punctuation" and line_rules.line_reason("home \u00a0") != "navigation"
     assert line_rules.line_reason("All rights reserved.") == "boilerplate" and line_rules.line_reason("an ordinary line of words.") is None
     assert line_rules.clean_documents(none).count() == 0
 
@@ -145,7 +146,7 @@ def test_token_counts(docs, rows, none):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, path).collect())
     assert got == Counter((r[0], len(model.encode(r[1] or ""))) for r in rows)
-    counter = token_counts.TokenCounter(path, token_counts.whole_tokens(path))
+    counter = token_counts.TokenCounter(open(path, "rb").read(), token_counts.whole_tokens(path))
     odd = ["".join(RND.choices(["a", " ", "  ", "\n", "▁", "é", "<s>", "\0", "🙂", ".\r", "hello"], k=RND.randint(0, 12))) for _ in range(2000)]
     assert counter(odd) == [len(x) for x in model.encode(odd)]
     assert token_counts.count_tokens(none, path).count() == 0
@@ -174,5 +175,7 @@ def test_chat_template(spark):
     assert got[2].turns_sha256 == sha("\nx\nassistant\ntie\n") and None in got
     with pytest.raises(chat_template.TemplateError):
         chat_template.compile_template("{{ messages.__class__ }}")
+    with pytest.raises(chat_template.TemplateError):  # valid, but its marks are unknown to the reader
+        chat_template.format_conversations(talks, "{% for m in messages %}[{{ m.role }}] {{ m.text }}\n{% endfor %}")
     tree = chat_template.fold_block(chat_template.parse('a{% if "x" == "x" %}b{{ "c" + "d" | upper }}{% else %}no{% endif %}'))
     assert [n.value for n in tree] == ["abcD"]
