@@ -2,21 +2,32 @@
 
 The tree's alphabet is bounded: the SYMBOLS most frequent words, the end of a
 text, and a class for all other words that share their last two bytes. A
-context (the up to `depth` symbols before a token) becomes a state when it is
-common enough and its next-symbol distribution diverges from that of its
-suffix; a state's distribution is absolute-discounted onto its suffix state's,
-down to the root's, which covers the whole alphabet. A token is scored in the
-longest suffix of its context that is a state; a word of a class then costs
-its add-one share of that class, so that all unseen words of a class are one
-event, as they are in the unigram base.
-
-Counts cover all training rows: word counts and, one level of the tree after
-the other, the symbols that follow each frequent context. Contexts below
-`min_share` of all tokens never become states, so a level has at most
-1 / min_share states and 4 / min_share listed symbols whatever the input's
-size: that is the proven bound of what reaches the driver and is broadcast.
-The vocabulary has no such bound: the HEAD most frequent words are broadcast,
-all other words of a text meet their counts in a shuffled join.
+context becomes a state when it is common enough and its next-symbol
+distribution diverges from that of its suffix; a state's distribution is
+absolute-discounted onto its suffix state's, down to the root's, which covers
+the whole alphabet. A token is scored in the longest suffix of its context
+that is a state; a word of a class then costs its add-one share of that
+class, so that all unseen words of a class are one event, as they are in the
+unigram base.
+
+Contexts are of two kinds.
+  Of up to `depth` symbols: the frequent ones, above `min_share` of all
+  tokens. There are at most 1 / min_share a level and 4 / min_share listed
+  symbols whatever the input's size; they are what is broadcast.
+  Of DEEP words: every context that occurs `min_deep` times or more, so what
+  the model holds grows with the corpus. They are never gathered: counts,
+  divergence and smoothing are joins over hashed contexts (64 bits). The
+  suffix of such a state is the longest of the first kind. In it a word of
+  the HEAD most frequent is its own symbol, any other its class. Texts meet
+  their states in a join, of which a table of 2^BLOOM flags, of fixed size,
+  spares the tokens that cannot have one; where the flags are full, all
+  tokens take part. Contexts with over 1 / HOT of all tokens, of which there
+  are at most HOT, are dealt over SALTS keys in that join.
+
+Texts are split into words twice, once to count words and once to write each
+as a row of codes; all else reads the codes. Counts cover all training rows.
+The vocabulary has no bound: the HEAD most frequent words are broadcast, all
+other words of a text meet their counts in a shuffled join.
 
 Defined cases: a null text is empty (its only token is the end); a null id
 belongs to the training rows; repeated rows count and score each; an empty
@@ -27,15 +38,17 @@ is uniform. Other columns of the input are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inquiro.llm.common import arrow_type, as_bytes, materialize, remainder_of_id, share, shared, text_slices
+from inquiro.llm.common import as_bytes, materialize, remainder_of_id, share, shared, text_slices
 
 DEPTH = 2
 MIN_SHARE = 2e-5
@@ -45,6 +58,9 @@ SYMBOLS = 4096
 CLASSES = 1024
 HEAD = 1 << 17
 BITS = 13  # of a symbol's id
+DEEP, MIN_DEEP, BLOOM, HOT, SALTS = 4, 2, 26, 20_000, 16
+RARE = 20  # bits of a rare word's hash in its code
+OTHER = -(1 << 30)  # the symbol that stands for all unlisted followers
 END = b"\n"
 _EMPTY = np.int64(-1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -80,21 +96,48 @@ class Alphabet:
     n_words: int
 
     def read(self, words: list[bytes]) -> tuple[list[int], list[bytes]]:
-        """Places of the words and the end, minus the symbol and one for a
-        word outside the head; and those words."""
+        """Codes of the words and the end, and the words outside the head. A
+        head word's code is its place; others' are below zero and hold their
+        class and RARE bits of their hash."""
         head, classes, other = self.head, self.classes, self.other
-        places, rare = [], []
+        codes, rare = [], []
         for w in words:
             k = head.get(w)
             if k is None:
-                k = -1 - classes.get(w[-2:], other)
+                k = -1 - (classes.get(w[-2:], other) - self.n_words << RARE | zlib.crc32(w) & (1 << RARE) - 1)
                 rare.append(w)
-            places.append(k)
-        places.append(head[END])
-        return places, rare
+            codes.append(k)
+        codes.append(head[END])
+        return codes, rare
 
-    def symbols(self, places: np.ndarray) -> np.ndarray:
-        return np.where(places >= 0, self.head_symbol[np.maximum(places, 0)], -1 - places)
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes >= 0, self.head_symbol[np.maximum(codes, 0)], self.n_words + (-1 - codes >> RARE))
+
+
+def read_codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all texts, their numbers)."""
+    column = batch.column("codes")
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), dtype="<i4").astype(np.int64), np.array([len(x) // 4 for x in blobs], dtype=np.int64)
+
+
+def encode(docs: DataFrame, alphabet: Broadcast) -> DataFrame:
+    """docs(doc_id, text, held_out, text_hash) with codes and rare (word,
+    times) in place of the text."""
+
+    def run(batches):
+        letters = shared(alphabet)
+        for batch in text_slices(batches, limit=2 << 20):
+            blobs, rare = [], []
+            for t in as_bytes(batch):
+                codes, out = letters.read(t.lower().split())
+                blobs.append(np.array(codes, dtype="<i4").tobytes())
+                rare.append([{"word": w, "times": k} for w, k in Counter(out).items()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out", "text_hash")), pa.array(blobs, pa.binary()), pa.array(rare, rare_type)], names=["doc_id", "held_out", "text_hash", "codes", "rare"])
+
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "held_out", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, text_hash long, codes binary, rare array<struct<word:binary,times:long>>")
 
 
 def build_alphabet(counts: DataFrame, symbols: int = SYMBOLS, classes: int = CLASSES, head: int = HEAD) -> Alphabet:
@@ -174,15 +217,13 @@ def follower_counts(training: DataFrame, alphabet, contexts, order: int) -> Data
     def count(batches):
         letters, frequent = shared(alphabet), shared(contexts)
         end = int(letters.head_symbol[letters.head[END]])
-        for batch in text_slices(batches, limit=8 << 20):
-            places = [letters.read(t.lower().split())[0] for t in as_bytes(batch)]
-            sizes = np.array([len(p) for p in places])
-            symbols = letters.symbols(np.concatenate([np.array(p, dtype=np.int64) for p in places]))
-            codes = context_codes(symbols, np.cumsum(sizes) - sizes, end, order)
+        for batch in text_slices(batches, column="codes", limit=8 << 20):
+            flat, sizes = read_codes(batch)
+            codes = context_codes(letters.symbols(flat), np.cumsum(sizes) - sizes, end, order)
             codes, n = np.unique(codes[frequent.find(codes >> BITS)[0]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-    return training.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return training.select("codes").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -286,7 +327,120 @@ def build_tree(training: DataFrame, alphabet: Alphabet, broadcast, *, depth: int
     return tree
 
 
-def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_remainder: int = 2, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, discount: float = DISCOUNT, symbols: int = SYMBOLS, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+class Scorer:
+    """log10 probabilities of tokens under the first kind of states."""
+
+    def __init__(self, letters: Alphabet, tree: SuffixTree):
+        self.letters, self.tree = letters, tree
+        self.end = int(letters.head_symbol[letters.head[END]])
+        self.in_class = -np.log10(letters.counts + letters.kinds + 1)
+        self.in_class[: letters.n_words] = 0
+
+    def __call__(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(of the symbol in the deep sense: a head word, else a class; what a
+        word then costs within its class, but for a rare word's own count)."""
+        of = self.letters.symbols(codes)
+        log_p = self.tree.log10(context_codes(of, starts, self.end, self.tree.depth))
+        head = codes >= 0
+        inside = self.in_class[of] + np.where(head & (of >= self.letters.n_words), self.letters.head_log[np.maximum(codes, 0)], 0.0)
+        return log_p + np.where(head, inside, 0.0), np.where(head, 0.0, inside)
+
+
+def deep_contexts(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """A hash of the DEEP codes before each token; the end pads."""
+    out = np.full(len(codes), np.uint64(0x51ED270B))
+    for back in range(DEEP, 0, -1):
+        before = np.roll(codes, back)
+        for j in range(back):
+            inside = starts + j < len(codes)
+            before[(starts + j)[inside]] = end
+        out = (out ^ before.astype(np.uint64)) * _SPREAD
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def deep_symbols(codes: np.ndarray) -> np.ndarray:
+    """A head word's place, else its class below zero."""
+    return np.where(codes >= 0, codes, -1 - (-1 - codes >> RARE))
+
+
+def deep_states(training: DataFrame, alphabet: Broadcast, tree: Broadcast, *, min_deep: int, divergence: float, discount: float) -> DataFrame:
+    """(ctx, sym, delta, total): the deep states' listed followers with what
+    log10 their probability is above all unlisted ones' change, and one row
+    OTHER a state with that change. Contexts of a text's start alone are left
+    to the first kind."""
+
+    def count(batches):
+        score = Scorer(shared(alphabet), shared(tree))
+        end = score.letters.head[END]
+        for batch in text_slices(batches, column="codes", limit=6 << 20):
+            codes, sizes = read_codes(batch)
+            starts = np.cumsum(sizes) - sizes
+            inner = np.ones(len(codes), dtype=bool)
+            inner[starts] = False
+            ctx, sym, cost = (x[inner] for x in (deep_contexts(codes, starts, end), deep_symbols(codes), -score(codes, starts)[0]))
+            _, first, n = np.unique((ctx ^ sym.astype(np.uint64)) * _SPREAD, return_index=True, return_counts=True)
+            # one long holds symbol, cost in 1/256 and number: half the bytes to shuffle
+            packed = (sym[first] + 4096 << 36) | (np.minimum(cost[first] * 256, 4095).astype(np.int64) << 24) | n
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(packed)], names=["ctx", "packed"])
+
+    grams = training.select("codes").mapInArrow(count, "ctx long, packed long").repartition("ctx")
+    often = grams.groupBy("ctx").agg(F.sum(F.col("packed").bitwiseAND(F.lit((1 << 24) - 1))).alias("total")).filter(F.col("total") >= min_deep)
+    kept = grams.join(often.hint("shuffle_hash"), "ctx").select("ctx", "total", (F.shiftright("packed", 36) - 4096).cast("int").alias("sym"), F.shiftright("packed", 24).bitwiseAND(F.lit(4095)).alias("cost"), F.col("packed").bitwiseAND(F.lit((1 << 24) - 1)).alias("n"))
+    counted = materialize(kept.groupBy("ctx", "sym").agg(F.first("total").alias("total"), F.sum("n").alias("n"), F.min("cost").alias("cost")))
+    log_p = -F.col("cost") / 256
+    gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - log_p * math.log(10)))
+    states = counted.groupBy("ctx").agg(F.first("total").alias("total"), F.count("*").alias("kinds"), gain.alias("gain")).filter(F.col("gain") >= divergence)
+    rest = F.lit(discount) * F.col("kinds") / F.col("total")
+    listed = counted.join(states.select("ctx", "kinds"), "ctx").select("ctx", "sym", (F.log10((F.col("n") - discount) / F.col("total") + rest * F.pow(F.lit(10.0), log_p)) - log_p - F.log10(rest)).alias("delta"), "total")
+    return listed.unionByName(states.select("ctx", F.lit(OTHER).alias("sym"), F.log10(rest).alias("delta"), "total"))
+
+
+def context_flags(states: DataFrame, bits: int = BLOOM) -> np.ndarray:
+    """2^bits flags, packed in 64-bit words, set for the states' contexts."""
+    place = F.shiftrightunsigned("ctx", 64 - bits)
+    words = states.filter(F.col("sym") == OTHER).groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("v")).toArrow()  # at most 2^bits / 64 rows
+    flags = np.zeros(1 << bits - 6, dtype=np.int64)
+    flags[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return flags.view(np.uint64)
+
+
+def deep_changes(encoded: DataFrame, alphabet: Broadcast, states: DataFrame, n_all: int) -> DataFrame:
+    """(doc_id, text_hash, delta): by how much deep states change the scores
+    of the texts; summed over rows of the same id and text."""
+    least = max(2, n_all // HOT)
+    hot = states.filter((F.col("sym") == OTHER) & (F.col("total") > least)).select("ctx").toArrow().column("ctx").to_numpy()  # at most HOT
+    sent = share(encoded.sparkSession, (context_flags(states), np.sort(hot)))
+
+    def find(batches):
+        flags, often = shared(sent)
+        end = shared(alphabet).head[END]
+        for batch in text_slices(batches, column="codes", limit=4 << 20):
+            codes, sizes = read_codes(batch)
+            starts = np.cumsum(sizes) - sizes
+            ctx = deep_contexts(codes, starts, end)
+            place = ctx >> np.uint64(64 - BLOOM)
+            may = flags[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) != 0
+            may[starts] = False
+            at = np.flatnonzero(may)
+            row = np.searchsorted(starts, at, side="right") - 1
+            own, sym = ctx[at].view(np.int64), deep_symbols(codes[at])
+            near = often[np.minimum(np.searchsorted(often, own), max(0, len(often) - 1))] == own if len(often) else np.zeros(len(own), dtype=bool)
+            salt = np.where(near, batch.column("text_hash").to_numpy()[row] % SALTS, 0)
+            twice = np.concatenate([row, row])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(twice)), batch.column("text_hash").take(pa.array(twice)), pa.array(np.concatenate([own, own])), pa.array(np.concatenate([sym, np.full(len(sym), OTHER)]).astype(np.int32)), pa.array(np.concatenate([salt, salt]).astype(np.int32))],
+                names=["doc_id", "text_hash", "ctx", "sym", "salt"],
+            )
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    hits = encoded.select("doc_id", "text_hash", "codes").mapInArrow(find, f"doc_id {kind}, text_hash long, ctx long, sym int, salt int")
+    salts = F.when(F.col("total") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = states.select("ctx", "sym", "delta", F.explode(salts).alias("salt"))
+    return hits.join(dealt, ["ctx", "sym", "salt"]).groupBy("doc_id", "text_hash").agg(F.sum("delta").alias("delta"))
+
+
+def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_remainder: int = 2, depth: int = DEPTH, min_share: float = MIN_SHARE, min_deep: int = MIN_DEEP, divergence: float = DIVERGENCE, discount: float = DISCOUNT, symbols: int = SYMBOLS, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
     """Score every row of docs(doc_id, text), learning from the rows whose
     hashed id does not leave the held-out remainder.
 
@@ -295,80 +449,44 @@ def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_rema
     """
     spark: SparkSession = docs.sparkSession
     held = F.coalesce(remainder_of_id(F.col("doc_id"), held_out_divisor) == held_out_remainder, F.lit(False))
-    docs = docs.select("doc_id", "text")
-    training = docs.filter(~held)
-    counts = materialize(word_counts(training))
+    docs = docs.select("doc_id", "text", held.alias("held_out"), F.xxhash64("text").alias("text_hash"))
+    counts = materialize(word_counts(docs.filter(~F.col("held_out"))))
     n_all, n_kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     letters = build_alphabet(counts, symbols, classes, head)
     alphabet = share(spark, letters)
+    encoded = materialize(encode(docs, alphabet))
+    training = encoded.filter(~F.col("held_out"))
     tree = share(spark, build_tree(training, letters, alphabet, depth=depth, min_share=min_share, divergence=divergence, discount=discount))
+    states = materialize(deep_states(training, alphabet, tree, min_deep=min_deep, divergence=divergence, discount=discount))
     floor = math.log10(n_all + n_kinds + 1)
 
     def score(batches):
-        known, model = shared(alphabet), shared(tree)
-        end = int(known.head_symbol[known.head[END]])
-        in_class = -np.log10(known.counts + known.kinds + 1)
-        in_class[: known.n_words] = 0
-        for batch in text_slices(batches, limit=2 << 20):
-            places = [known.read(t.lower().split())[0] for t in as_bytes(batch)]
-            sizes = np.array([len(p) for p in places], dtype=np.int64)
-            starts = np.cumsum(sizes) - sizes
-            flat = np.concatenate([np.array(p, dtype=np.int64) for p in places])
-            seen = flat >= 0
-            letters_of = known.symbols(flat)
-            log_c = np.where(seen, known.head_log[np.maximum(flat, 0)], 0.0)
-            of_class = letters_of >= known.n_words
-            log_p = model.log10(context_codes(letters_of, starts, end, model.depth)) + in_class[letters_of] + np.where(of_class, log_c, 0.0)
-            has_count = seen & (log_c > 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    batch.column("text_hash"),
-                    pa.array(sizes),
-                    pa.array(np.add.reduceat(has_count.astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(log_c, starts)),
-                    pa.array(np.add.reduceat(log_p, starts)),
-                ],
-                names=["doc_id", "held_out", "text_hash", "n_tokens", "head_known", "head_log", "head_score"],
-            )
-
-    def tail(batches):
         known = shared(alphabet)
-        for batch in text_slices(batches, limit=4 << 20):
-            ids, hashes, words, times, rows = [], [], [], [], []
-            for doc_id, text_hash, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), as_bytes(batch)):
-                rare: dict = Counter(known.read(t.lower().split())[1])
-                rare[END + text_hash.to_bytes(8, "big", signed=True)] = 1  # counts the row itself
-                ids += [doc_id] * len(rare)
-                hashes += [text_hash] * len(rare)
-                words += rare
-                times += rare.values()
-                rows += [0] * (len(rare) - 1) + [1]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(rows, pa.int64())], names=["doc_id", "text_hash", "word", "times", "row"])
-
-    id_sql = docs.schema["doc_id"].dataType.simpleString()
-    id_type = arrow_type(docs.schema["doc_id"].dataType)
-    keyed = docs.select("doc_id", "text", held.alias("held_out"), F.xxhash64("text").alias("text_hash"))
-    scored = keyed.mapInArrow(score, f"doc_id {id_sql}, held_out boolean, text_hash long, n_tokens long, head_known long, head_log double, head_score double")
-    rare = keyed.select("doc_id", "text", "text_hash").mapInArrow(tail, f"doc_id {id_sql}, text_hash long, word binary, times long, row long")
-    tails = (
-        rare.join(counts, "word", "left")
-        .groupBy("doc_id", "text_hash")
-        .agg(
-            F.sum("row").alias("rows"),
-            F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.when(F.col("c") > 0, F.col("times") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("log"),
-        )
-        .select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), F.expr("known div rows").alias("tail_known"), (F.col("log") / F.col("rows")).alias("tail_log"))
-    )
-    tail_log = F.coalesce("tail_log", F.lit(0.0))
-    return scored.join(tails, scored.doc_id.eqNullSafe(tails.t_id) & (scored.text_hash == tails.t_hash), "left").select(
+        scorer = Scorer(known, shared(tree))
+        for batch in text_slices(batches, column="codes", limit=4 << 20):
+            flat, sizes = read_codes(batch)
+            starts = np.cumsum(sizes) - sizes
+            log_c = np.where(flat >= 0, known.head_log[np.maximum(flat, 0)], 0.0)
+            sums = ((flat >= 0) & (log_c > 0)).astype(np.int64), log_c, sum(scorer(flat, starts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out", "text_hash")), pa.array(sizes), *(pa.array(np.add.reduceat(x, starts)) for x in sums)], names=["doc_id", "held_out", "text_hash", "n_tokens", "head_known", "head_log", "head_score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = encoded.select("doc_id", "held_out", "text_hash", "codes").mapInArrow(score, f"doc_id {kind}, held_out boolean, text_hash long, n_tokens long, head_known long, head_log double, head_score double")
+    rare = encoded.select("doc_id", "text_hash", F.explode("rare").alias("r")).select("doc_id", "text_hash", "r.word", "r.times").join(counts, "word")
+    tails = rare.groupBy("doc_id", "text_hash").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log"))
+    rows = encoded.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1")
+    none = F.lit(0.0)
+    parts = tails.select("doc_id", "text_hash", "known", "log", none.alias("delta"), F.lit(0).cast("long").alias("rows"))
+    parts = parts.unionByName(deep_changes(encoded, alphabet, states, n_all).select("doc_id", "text_hash", F.lit(0).cast("long").alias("known"), none.alias("log"), "delta", F.lit(0).cast("long").alias("rows")))
+    parts = parts.unionByName(rows.select("doc_id", "text_hash", F.lit(0).cast("long").alias("known"), none.alias("log"), none.alias("delta"), "rows"))
+    all_ = parts.groupBy(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash")).agg(F.sum("known").alias("known"), F.sum("log").alias("log"), F.sum("delta").alias("delta"), F.greatest(F.max("rows"), F.lit(1)).alias("n_rows"))
+    tail_log = F.coalesce(F.col("log") / F.col("n_rows"), none)
+    return scored.join(all_, scored.doc_id.eqNullSafe(all_.t_id) & (scored.text_hash == all_.t_hash), "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        (F.col("head_known") + F.coalesce(F.expr("known div n_rows"), F.lit(0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("head_log") + tail_log - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (F.col("head_score") + tail_log).alias("score"),
+        (F.col("head_score") + tail_log + F.coalesce(F.col("delta") / F.col("n_rows"), none)).alias("score"),
     )
