@@ -15,12 +15,13 @@ Contexts are of two kinds.
   tokens. There are at most 1 / min_share a level and 4 / min_share listed
   symbols whatever the input's size; they are what is broadcast.
   Of DEEP words: every context that occurs `min_deep` times or more, so what
-  the model holds grows with the corpus. They are never gathered: counts,
+  the model holds grows with the corpus. Contexts are counted by their hashes
+  alone first, then those that repeat with their followers. They are never gathered: counts,
   divergence and smoothing are joins over hashed contexts (64 bits). The
   suffix of such a state is the longest of the first kind. In it a word of
   the HEAD most frequent is its own symbol, any other its class. Texts meet
   their states in a join, of which a table of 2^BLOOM flags, of fixed size,
-  spares the tokens that cannot have one; where the flags are full, all
+  spares (as in the counting) the tokens that cannot have one; where the flags are full, all
   tokens take part. Contexts with over 1 / HOT of all tokens, of which there
   are at most HOT, are dealt over SALTS keys in that join.
 
@@ -58,8 +59,9 @@ SYMBOLS = 4096
 CLASSES = 1024
 HEAD = 1 << 17
 BITS = 13  # of a symbol's id
-DEEP, MIN_DEEP, BLOOM, HOT, SALTS = 4, 2, 26, 20_000, 16
+DEEP, MIN_DEEP, BLOOM, WORD_BLOOM, HOT, SALTS = 4, 2, 28, 26, 20_000, 16
 RARE = 20  # bits of a rare word's hash in its code
+_ONCE = (1 << RARE) - 1  # in place of that hash: the word occurs once or never
 OTHER = -(1 << 30)  # the symbol that stands for all unlisted followers
 END = b"\n"
 _EMPTY = np.int64(-1)
@@ -94,17 +96,20 @@ class Alphabet:
     counts: np.ndarray
     kinds: np.ndarray
     n_words: int
+    repeated: bytes = b"\0" * (1 << WORD_BLOOM - 3)  # flags of words that occur twice or more
 
     def read(self, words: list[bytes]) -> tuple[list[int], list[bytes]]:
         """Codes of the words and the end, and the words outside the head. A
         head word's code is its place; others' are below zero and hold their
         class and RARE bits of their hash."""
-        head, classes, other = self.head, self.classes, self.other
+        head, classes, other, repeated = self.head, self.classes, self.other, self.repeated
         codes, rare = [], []
         for w in words:
             k = head.get(w)
             if k is None:
-                k = -1 - (classes.get(w[-2:], other) - self.n_words << RARE | zlib.crc32(w) & (1 << RARE) - 1)
+                h = zlib.crc32(w) >> 32 - WORD_BLOOM
+                h = h % _ONCE if repeated[h >> 3] >> (h & 7) & 1 else _ONCE
+                k = -1 - (classes.get(w[-2:], other) - self.n_words << RARE | h)
                 rare.append(w)
             codes.append(k)
         codes.append(head[END])
@@ -164,7 +169,17 @@ def build_alphabet(counts: DataFrame, symbols: int = SYMBOLS, classes: int = CLA
     head_symbol = np.array([in_own[w] if w in in_own else index.get(w[-2:], other) for w in words], dtype=np.int64)
     total = np.concatenate([[c[place[w]] for w in own], cc, [all_c - sum(cc)]]).astype(float)
     kinds = np.concatenate([np.zeros(n), cv, [all_v - sum(cv)]])
-    return Alphabet(place, head_symbol, np.log10(c + 1.0), index, other, total, kinds, n)
+    twice = counts.filter("c > 1").select(F.shiftrightunsigned(F.crc32("word"), 32 - WORD_BLOOM).alias("place"))
+    return Alphabet(place, head_symbol, np.log10(c + 1.0), index, other, total, kinds, n, flag_table(twice, WORD_BLOOM).tobytes())
+
+
+def flag_table(places: DataFrame, bits: int) -> np.ndarray:
+    """2^bits flags, packed in 64-bit words, set at the given places."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    words = places.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()  # at most 2^bits / 64 rows
+    flags = np.zeros(1 << bits - 6, dtype=np.int64)
+    flags[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return flags.view(np.uint64)
 
 
 def context_codes(symbols: np.ndarray, starts: np.ndarray, end: int, order: int) -> np.ndarray:
@@ -346,17 +361,27 @@ class Scorer:
         return log_p + np.where(head, inside, 0.0), np.where(head, 0.0, inside)
 
 
-def deep_contexts(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-    """A hash of the DEEP codes before each token; the end pads."""
-    out = np.full(len(codes), np.uint64(0x51ED270B))
+def deep_contexts(codes: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of the DEEP codes before each token; whether it may be that of
+    a state). The end pads. A text's start alone is left to the first kind,
+    and a word that occurs once is in no context that occurs twice."""
+    out, may = np.full(len(codes), np.uint64(0x51ED270B)), np.ones(len(codes), dtype=bool)
+    once = (codes < 0) & ((-1 - codes) & _ONCE == _ONCE)
     for back in range(DEEP, 0, -1):
-        before = np.roll(codes, back)
+        before, bad = np.roll(codes, back), np.roll(once, back)
         for j in range(back):
-            inside = starts + j < len(codes)
-            before[(starts + j)[inside]] = end
+            at = (starts + j)[starts + j < len(codes)]
+            before[at], bad[at] = end, False
         out = (out ^ before.astype(np.uint64)) * _SPREAD
         out ^= out >> np.uint64(31)
-    return out
+        may &= ~bad
+    may[starts] = False
+    return out, may
+
+
+def flagged(flags: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    place = ctx >> np.uint64(64 - BLOOM)
+    return flags[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) != 0
 
 
 def deep_symbols(codes: np.ndarray) -> np.ndarray:
@@ -370,47 +395,51 @@ def deep_states(training: DataFrame, alphabet: Broadcast, tree: Broadcast, *, mi
     OTHER a state with that change. Contexts of a text's start alone are left
     to the first kind."""
 
+    def contexts(batches):
+        end = shared(alphabet).head[END]
+        for batch in text_slices(batches, column="codes", limit=6 << 20):
+            codes, sizes = read_codes(batch)
+            ctx, may = deep_contexts(codes, np.cumsum(sizes) - sizes, end)
+            ctx, n = np.unique(ctx[may], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ctx, np.minimum(n, min_deep)).view(np.int64))], names=["ctx"])
+
+    seen = training.select("codes").mapInArrow(contexts, "ctx long").repartition("ctx")
+    often = seen.groupBy("ctx").agg(F.count("*").alias("n")).filter(F.col("n") >= min_deep)
+    flags = share(training.sparkSession, flag_table(often.select(F.shiftrightunsigned("ctx", 64 - BLOOM).alias("place")), BLOOM))
+
     def count(batches):
-        score = Scorer(shared(alphabet), shared(tree))
+        score, known = Scorer(shared(alphabet), shared(tree)), shared(flags)
         end = score.letters.head[END]
         for batch in text_slices(batches, column="codes", limit=6 << 20):
             codes, sizes = read_codes(batch)
             starts = np.cumsum(sizes) - sizes
-            inner = np.ones(len(codes), dtype=bool)
-            inner[starts] = False
-            ctx, sym, cost = (x[inner] for x in (deep_contexts(codes, starts, end), deep_symbols(codes), -score(codes, starts)[0]))
+            ctx, may = deep_contexts(codes, starts, end)
+            may &= flagged(known, ctx)
+            ctx, sym, cost = (x[may] for x in (ctx, deep_symbols(codes), -score(codes, starts)[0]))
             _, first, n = np.unique((ctx ^ sym.astype(np.uint64)) * _SPREAD, return_index=True, return_counts=True)
             # one long holds symbol, cost in 1/256 and number: half the bytes to shuffle
             packed = (sym[first] + 4096 << 36) | (np.minimum(cost[first] * 256, 4095).astype(np.int64) << 24) | n
             yield pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(packed)], names=["ctx", "packed"])
 
     grams = training.select("codes").mapInArrow(count, "ctx long, packed long").repartition("ctx")
-    often = grams.groupBy("ctx").agg(F.sum(F.col("packed").bitwiseAND(F.lit((1 << 24) - 1))).alias("total")).filter(F.col("total") >= min_deep)
-    kept = grams.join(often.hint("shuffle_hash"), "ctx").select("ctx", "total", (F.shiftright("packed", 36) - 4096).cast("int").alias("sym"), F.shiftright("packed", 24).bitwiseAND(F.lit(4095)).alias("cost"), F.col("packed").bitwiseAND(F.lit((1 << 24) - 1)).alias("n"))
-    counted = materialize(kept.groupBy("ctx", "sym").agg(F.first("total").alias("total"), F.sum("n").alias("n"), F.min("cost").alias("cost")))
+    each = grams.select("ctx", (F.shiftright("packed", 36) - 4096).cast("int").alias("sym"), F.shiftright("packed", 24).bitwiseAND(F.lit(4095)).alias("cost"), F.col("packed").bitwiseAND(F.lit((1 << 24) - 1)).alias("n"))
+    counted = materialize(each.groupBy("ctx", "sym").agg(F.sum("n").alias("n"), F.min("cost").alias("cost")))
     log_p = -F.col("cost") / 256
-    gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - log_p * math.log(10)))
-    states = counted.groupBy("ctx").agg(F.first("total").alias("total"), F.count("*").alias("kinds"), gain.alias("gain")).filter(F.col("gain") >= divergence)
+    own = F.sum(F.col("n") * (F.log("n") - log_p * math.log(10)))
+    states = counted.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), own.alias("own")).filter(F.col("total") >= min_deep)
+    states = states.filter(F.col("own") - F.col("total") * F.log("total") >= divergence).drop("own")
     rest = F.lit(discount) * F.col("kinds") / F.col("total")
-    listed = counted.join(states.select("ctx", "kinds"), "ctx").select("ctx", "sym", (F.log10((F.col("n") - discount) / F.col("total") + rest * F.pow(F.lit(10.0), log_p)) - log_p - F.log10(rest)).alias("delta"), "total")
+    listed = counted.join(states, "ctx").select("ctx", "sym", (F.log10((F.col("n") - discount) / F.col("total") + rest * F.pow(F.lit(10.0), log_p)) - log_p - F.log10(rest)).alias("delta"), "total")
     return listed.unionByName(states.select("ctx", F.lit(OTHER).alias("sym"), F.log10(rest).alias("delta"), "total"))
 
 
-def context_flags(states: DataFrame, bits: int = BLOOM) -> np.ndarray:
-    """2^bits flags, packed in 64-bit words, set for the states' contexts."""
-    place = F.shiftrightunsigned("ctx", 64 - bits)
-    words = states.filter(F.col("sym") == OTHER).groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("v")).toArrow()  # at most 2^bits / 64 rows
-    flags = np.zeros(1 << bits - 6, dtype=np.int64)
-    flags[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    return flags.view(np.uint64)
-
-
 def deep_changes(encoded: DataFrame, alphabet: Broadcast, states: DataFrame, n_all: int) -> DataFrame:
     """(doc_id, text_hash, delta): by how much deep states change the scores
     of the texts; summed over rows of the same id and text."""
     least = max(2, n_all // HOT)
     hot = states.filter((F.col("sym") == OTHER) & (F.col("total") > least)).select("ctx").toArrow().column("ctx").to_numpy()  # at most HOT
-    sent = share(encoded.sparkSession, (context_flags(states), np.sort(hot)))
+    flags = flag_table(states.filter(F.col("sym") == OTHER).select(F.shiftrightunsigned("ctx", 64 - BLOOM).alias("place")), BLOOM)
+    sent = share(encoded.sparkSession, (flags, np.sort(hot)))
 
     def find(batches):
         flags, often = shared(sent)
@@ -418,10 +447,8 @@ def deep_changes(encoded: DataFrame, alphabet: Broadcast, states: DataFrame, n_a
         for batch in text_slices(batches, column="codes", limit=4 << 20):
             codes, sizes = read_codes(batch)
             starts = np.cumsum(sizes) - sizes
-            ctx = deep_contexts(codes, starts, end)
-            place = ctx >> np.uint64(64 - BLOOM)
-            may = flags[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) != 0
-            may[starts] = False
+            ctx, may = deep_contexts(codes, starts, end)
+            may &= flagged(flags, ctx)
             at = np.flatnonzero(may)
             row = np.searchsorted(starts, at, side="right") - 1
             own, sym = ctx[at].view(np.int64), deep_symbols(codes[at])
