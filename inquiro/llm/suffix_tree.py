@@ -127,8 +127,8 @@ def read_codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(docs: DataFrame, alphabet: Broadcast) -> DataFrame:
-    """docs(doc_id, text, held_out, text_hash) with codes and rare (word,
-    times) in place of the text."""
+    """docs(doc_id, text, held_out) with codes and rare (word, times) in place
+    of the text, and a number for each row."""
 
     def run(batches):
         letters = shared(alphabet)
@@ -138,11 +138,12 @@ def encode(docs: DataFrame, alphabet: Broadcast) -> DataFrame:
                 codes, out = letters.read(t.lower().split())
                 blobs.append(np.array(codes, dtype="<i4").tobytes())
                 rare.append([{"word": w, "times": k} for w, k in Counter(out).items()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out", "text_hash")), pa.array(blobs, pa.binary()), pa.array(rare, rare_type)], names=["doc_id", "held_out", "text_hash", "codes", "rare"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out")), pa.array(blobs, pa.binary()), pa.array(rare, rare_type)], names=["doc_id", "held_out", "codes", "rare"])
 
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, text_hash long, codes binary, rare array<struct<word:binary,times:long>>")
+    coded = docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, codes binary, rare array<struct<word:binary,times:long>>")
+    return coded.withColumn("row", F.monotonically_increasing_id())  # kept, once written
 
 
 def build_alphabet(counts: DataFrame, symbols: int = SYMBOLS, classes: int = CLASSES, head: int = HEAD) -> Alphabet:
@@ -434,12 +435,15 @@ def deep_states(training: DataFrame, alphabet: Broadcast, tree: Broadcast, *, mi
 
 
 def deep_changes(encoded: DataFrame, alphabet: Broadcast, states: DataFrame, n_all: int) -> DataFrame:
-    """(doc_id, text_hash, delta): by how much deep states change the scores
-    of the texts; summed over rows of the same id and text."""
+    """(row, delta): by how much deep states change the scores of the rows of
+    encoded. A token and its state meet in one join on the context; a state
+    brings its followers along, of which there are at most HEAD and CLASSES."""
+    spark = encoded.sparkSession
     least = max(2, n_all // HOT)
-    hot = states.filter((F.col("sym") == OTHER) & (F.col("total") > least)).select("ctx").toArrow().column("ctx").to_numpy()  # at most HOT
-    flags = flag_table(states.filter(F.col("sym") == OTHER).select(F.shiftrightunsigned("ctx", 64 - BLOOM).alias("place")), BLOOM)
-    sent = share(encoded.sparkSession, (flags, np.sort(hot)))
+    other = F.col("sym") == OTHER
+    bundles = states.groupBy("ctx").agg(F.max(F.when(other, F.col("total"))).alias("total"), F.max(F.when(other, F.col("delta"))).alias("rest"), F.map_from_entries(F.collect_list(F.when(~other, F.struct("sym", "delta")))).alias("listed"))
+    hot = states.filter(other & (F.col("total") > least)).select("ctx").toArrow().column("ctx").to_numpy()  # at most HOT
+    sent = share(spark, (flag_table(states.filter(other).select(F.shiftrightunsigned("ctx", 64 - BLOOM).alias("place")), BLOOM), np.sort(hot)))
 
     def find(batches):
         flags, often = shared(sent)
@@ -448,23 +452,17 @@ def deep_changes(encoded: DataFrame, alphabet: Broadcast, states: DataFrame, n_a
             codes, sizes = read_codes(batch)
             starts = np.cumsum(sizes) - sizes
             ctx, may = deep_contexts(codes, starts, end)
-            may &= flagged(flags, ctx)
-            at = np.flatnonzero(may)
-            row = np.searchsorted(starts, at, side="right") - 1
+            at = np.flatnonzero(may & flagged(flags, ctx))
+            row = batch.column("row").to_numpy()[np.searchsorted(starts, at, side="right") - 1]
             own, sym = ctx[at].view(np.int64), deep_symbols(codes[at])
             near = often[np.minimum(np.searchsorted(often, own), max(0, len(often) - 1))] == own if len(often) else np.zeros(len(own), dtype=bool)
-            salt = np.where(near, batch.column("text_hash").to_numpy()[row] % SALTS, 0)
-            twice = np.concatenate([row, row])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(twice)), batch.column("text_hash").take(pa.array(twice)), pa.array(np.concatenate([own, own])), pa.array(np.concatenate([sym, np.full(len(sym), OTHER)]).astype(np.int32)), pa.array(np.concatenate([salt, salt]).astype(np.int32))],
-                names=["doc_id", "text_hash", "ctx", "sym", "salt"],
-            )
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    hits = encoded.select("doc_id", "text_hash", "codes").mapInArrow(find, f"doc_id {kind}, text_hash long, ctx long, sym int, salt int")
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(own), pa.array(sym.astype(np.int32)), pa.array(np.where(near, row % SALTS, 0).astype(np.int32))], names=["row", "ctx", "sym", "salt"])
+
+    hits = encoded.select("row", "codes").mapInArrow(find, "row long, ctx long, sym int, salt int")
     salts = F.when(F.col("total") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = states.select("ctx", "sym", "delta", F.explode(salts).alias("salt"))
-    return hits.join(dealt, ["ctx", "sym", "salt"]).groupBy("doc_id", "text_hash").agg(F.sum("delta").alias("delta"))
+    dealt = bundles.select("ctx", "rest", "listed", F.explode(salts).alias("salt"))
+    delta = F.col("rest") + F.coalesce(F.try_element_at("listed", F.col("sym")), F.lit(0.0))
+    return hits.join(dealt, ["ctx", "salt"]).select("row", delta.alias("delta"))
 
 
 def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_remainder: int = 2, depth: int = DEPTH, min_share: float = MIN_SHARE, min_deep: int = MIN_DEEP, divergence: float = DIVERGENCE, discount: float = DISCOUNT, symbols: int = SYMBOLS, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
@@ -476,7 +474,7 @@ def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_rema
     """
     spark: SparkSession = docs.sparkSession
     held = F.coalesce(remainder_of_id(F.col("doc_id"), held_out_divisor) == held_out_remainder, F.lit(False))
-    docs = docs.select("doc_id", "text", held.alias("held_out"), F.xxhash64("text").alias("text_hash"))
+    docs = docs.select("doc_id", "text", held.alias("held_out"))
     counts = materialize(word_counts(docs.filter(~F.col("held_out"))))
     n_all, n_kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     letters = build_alphabet(counts, symbols, classes, head)
@@ -495,25 +493,22 @@ def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_rema
             starts = np.cumsum(sizes) - sizes
             log_c = np.where(flat >= 0, known.head_log[np.maximum(flat, 0)], 0.0)
             sums = ((flat >= 0) & (log_c > 0)).astype(np.int64), log_c, sum(scorer(flat, starts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out", "text_hash")), pa.array(sizes), *(pa.array(np.add.reduceat(x, starts)) for x in sums)], names=["doc_id", "held_out", "text_hash", "n_tokens", "head_known", "head_log", "head_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out", "row")), pa.array(sizes), *(pa.array(np.add.reduceat(x, starts)) for x in sums)], names=["doc_id", "held_out", "row", "n_tokens", "head_known", "head_log", "head_score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = encoded.select("doc_id", "held_out", "text_hash", "codes").mapInArrow(score, f"doc_id {kind}, held_out boolean, text_hash long, n_tokens long, head_known long, head_log double, head_score double")
-    rare = encoded.select("doc_id", "text_hash", F.explode("rare").alias("r")).select("doc_id", "text_hash", "r.word", "r.times").join(counts, "word")
-    tails = rare.groupBy("doc_id", "text_hash").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log"))
-    rows = encoded.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1")
-    none = F.lit(0.0)
-    parts = tails.select("doc_id", "text_hash", "known", "log", none.alias("delta"), F.lit(0).cast("long").alias("rows"))
-    parts = parts.unionByName(deep_changes(encoded, alphabet, states, n_all).select("doc_id", "text_hash", F.lit(0).cast("long").alias("known"), none.alias("log"), "delta", F.lit(0).cast("long").alias("rows")))
-    parts = parts.unionByName(rows.select("doc_id", "text_hash", F.lit(0).cast("long").alias("known"), none.alias("log"), none.alias("delta"), "rows"))
-    all_ = parts.groupBy(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash")).agg(F.sum("known").alias("known"), F.sum("log").alias("log"), F.sum("delta").alias("delta"), F.greatest(F.max("rows"), F.lit(1)).alias("n_rows"))
-    tail_log = F.coalesce(F.col("log") / F.col("n_rows"), none)
-    return scored.join(all_, scored.doc_id.eqNullSafe(all_.t_id) & (scored.text_hash == all_.t_hash), "left").select(
+    scored = encoded.select("doc_id", "held_out", "row", "codes").mapInArrow(score, f"doc_id {kind}, held_out boolean, row long, n_tokens long, head_known long, head_log double, head_score double")
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
+    none, no = F.lit(0.0), F.lit(0).cast("long")
+    tails = rare.select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("c") + 1)).alias("log"), none.alias("delta"))
+    changes = deep_changes(encoded, alphabet, states, n_all).select("row", no.alias("known"), none.alias("log"), "delta")
+    parts = tails.unionByName(changes).groupBy("row").agg(F.sum("known").alias("known"), F.sum("log").alias("log"), F.sum("delta").alias("delta"))
+    tail_log = F.coalesce("log", none)
+    return scored.join(parts, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("head_known") + F.coalesce(F.expr("known div n_rows"), F.lit(0))).alias("n_known"),
+        (F.col("head_known") + F.coalesce("known", no)).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("head_log") + tail_log - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (F.col("head_score") + tail_log + F.coalesce(F.col("delta") / F.col("n_rows"), none)).alias("score"),
+        (F.col("head_score") + tail_log + F.coalesce("delta", none)).alias("score"),
     )

@@ -28,7 +28,7 @@ def test_scores_by_hand(spark):
     settings = {"symbols": 60, "classes": 20, "head": 150}
     got = {r.doc_id: r.score for r in st.score_documents(frame, min_share=1e-3, **settings).collect()}
 
-    docs = frame.select("doc_id", "text", (remainder_of_id(F.col("doc_id"), 7) == 2).alias("held_out"), F.lit(0).cast("long").alias("text_hash"))
+    docs = frame.select("doc_id", "text", (remainder_of_id(F.col("doc_id"), 7) == 2).alias("held_out"))
     held = {r.doc_id: r.held_out for r in docs.select("doc_id", "held_out").collect()}
     counts = st.word_counts(docs.filter("not held_out"))
     count = {bytes(r.word): r.c for r in counts.collect()}
