@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from inquiro.llm.common import as_bytes, remainder_of_id, share, shared, text_slices
 
-MAX_TRAIN, MIN_DOCS, BUCKETS = 20_000, 5, 1 << 20
+MAX_TRAIN, MIN_DOCS, BUCKETS = 12_000, 5, 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 LEVELS = (2, 3)  # different words of a text with one prefix
 FACTORS, BATCH, RATE, FACTOR_RATE, START = 8, 64, 0.1, 0.05, 0.05
@@ -117,7 +117,7 @@ class Rows:
     @classmethod
     def of(cls, sets) -> Rows:
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        return cls(np.fromiter(chain.from_iterable(sets), dtype=np.int64, count=int(sizes.sum())), sizes)
+        return cls(np.fromiter(chain.from_iterable(sets), dtype=np.int32, count=int(sizes.sum())), sizes)
 
     def take(self, rows: np.ndarray) -> Rows:
         sizes = self.sizes[rows]
@@ -127,9 +127,11 @@ class Rows:
 
     def renamed(self, to: np.ndarray) -> Rows:
         """With feature i called to[i]; those below zero go."""
-        new = to[self.flat]
-        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        return Rows(new[new >= 0], np.bincount(row[new >= 0], minlength=len(self.sizes)))
+        new = to.astype(np.int32)[self.flat]
+        kept = new >= 0
+        before = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])
+        ends = np.cumsum(self.sizes)
+        return Rows(new[kept], (before[ends] - before[ends - self.sizes]).astype(np.int64))
 
 
 @dataclass
@@ -156,7 +158,7 @@ class FactorizationMachine:
 def evidence(rows: Rows, toxic: np.ndarray, n_features: int) -> np.ndarray:
     """Log likelihood ratio of each feature and the labels."""
     d = np.bincount(rows.flat, minlength=n_features).astype(float)
-    t = np.bincount(rows.flat, np.repeat(toxic, rows.sizes), n_features)
+    t = np.bincount(rows.take(np.flatnonzero(toxic)).flat, minlength=n_features).astype(float)
     n, pos = float(len(toxic)), float(toxic.sum())
 
     def part(seen, expected):
@@ -239,10 +241,12 @@ def train(docs: DataFrame, labels: DataFrame, *, divisor: int = 3, held_out: int
     if not held.num_rows:
         return fit_machine(Rows.of([]), np.zeros(0, dtype=np.int64), np.zeros(0))
     lists = held.column("terms").combine_chunks()
-    rows = Rows(lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64))
+    toxic = held.column("toxic").to_numpy()
+    rows = Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
     common = np.bincount(rows.flat, minlength=BUCKETS) >= MIN_DOCS
     rows = rows.renamed(np.where(common, np.cumsum(common) - 1, -1))
-    return fit_machine(rows, np.flatnonzero(common), held.column("toxic").to_numpy())
+    del held, lists  # all rare terms are still in them
+    return fit_machine(rows, np.flatnonzero(common), toxic)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, divisor: int = 3, held_out: int = 1, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
