@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Frames made under this setting drop their shuffle files when their query ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For queries that are run once within: their shuffle files go at their
+    end. Build and run them inside, and never run one of these frames again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it back: the lineage ends
     there, a lost executor costs no recomputation, and several readers
-    share one run."""
+    share one run. The write's own shuffle files go with it."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    with own_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
