@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from inquiro.storage import materialize
+from inquiro.storage import materialize, own_shuffles
 
-__all__ = ["WORD", "arrow_type", "as_bytes", "lower_az", "materialize", "remainder_of_id", "share", "shared", "table", "text_slices"]
+__all__ = ["WORD", "arrow_type", "as_bytes", "lower_az", "materialize", "own_shuffles", "remainder_of_id", "share", "shared", "table", "text_slices"]
 
 #: A word is a run of bytes other than ASCII space and the controls 9 to 13;
 #: that is also how bytes.split() divides.

@@ -49,7 +49,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inquiro.llm.common import as_bytes, materialize, remainder_of_id, share, shared, text_slices
+from inquiro.llm.common import as_bytes, materialize, own_shuffles, remainder_of_id, share, shared, text_slices
 
 DEPTH = 2
 MIN_SHARE = 2e-5
@@ -177,7 +177,8 @@ def build_alphabet(counts: DataFrame, symbols: int = SYMBOLS, classes: int = CLA
 def flag_table(places: DataFrame, bits: int) -> np.ndarray:
     """2^bits flags, packed in 64-bit words, set at the given places."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
-    words = places.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()  # at most 2^bits / 64 rows
+    with own_shuffles(places.sparkSession):
+        words = places.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()  # at most 2^bits / 64 rows
     flags = np.zeros(1 << bits - 6, dtype=np.int64)
     flags[words.column("w").to_numpy()] = words.column("v").to_numpy()
     return flags.view(np.uint64)
@@ -500,7 +501,8 @@ def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_rema
     rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
     none, no = F.lit(0.0), F.lit(0).cast("long")
     tails = rare.select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("c") + 1)).alias("log"), none.alias("delta"))
-    changes = deep_changes(encoded, alphabet, states, n_all).select("row", no.alias("known"), none.alias("log"), "delta")
+    # written, so that the shuffle of hits is gone before the last one starts
+    changes = materialize(deep_changes(encoded, alphabet, states, n_all).groupBy("row").agg(F.sum("delta").alias("delta"))).select("row", no.alias("known"), none.alias("log"), "delta")
     parts = tails.unionByName(changes).groupBy("row").agg(F.sum("known").alias("known"), F.sum("log").alias("log"), F.sum("delta").alias("delta"))
     tail_log = F.coalesce("log", none)
     return scored.join(parts, "row", "left").select(
