@@ -59,7 +59,7 @@ SYMBOLS = 4096
 CLASSES = 1024
 HEAD = 1 << 17
 BITS = 13  # of a symbol's id
-DEEP, MIN_DEEP, BLOOM, WORD_BLOOM, HOT, SALTS = 4, 2, 28, 26, 20_000, 16
+DEEP, MIN_DEEP, BLOOM, WORD_BLOOM, HOT, SALTS, PART = 4, 2, 28, 26, 20_000, 16, 500_000
 RARE = 20  # bits of a rare word's hash in its code
 _ONCE = (1 << RARE) - 1  # in place of that hash: the word occurs once or never
 OTHER = -(1 << 30)  # the symbol that stands for all unlisted followers
@@ -177,8 +177,13 @@ def build_alphabet(counts: DataFrame, symbols: int = SYMBOLS, classes: int = CLA
 def flag_table(places: DataFrame, bits: int) -> np.ndarray:
     """2^bits flags, packed in 64-bit words, set at the given places."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
-    with own_shuffles(places.sparkSession):
-        words = places.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()  # at most 2^bits / 64 rows
+    return flags_of(places.select(F.shiftright("place", 6).alias("w"), one.alias("v")), bits)
+
+
+def flags_of(words: DataFrame, bits: int) -> np.ndarray:
+    """2^bits flags from words(w, v) of 64 flags each."""
+    with own_shuffles(words.sparkSession):
+        words = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most 2^bits / 64 rows
     flags = np.zeros(1 << bits - 6, dtype=np.int64)
     flags[words.column("w").to_numpy()] = words.column("v").to_numpy()
     return flags.view(np.uint64)
@@ -391,23 +396,36 @@ def deep_symbols(codes: np.ndarray) -> np.ndarray:
     return np.where(codes >= 0, codes, -1 - (-1 - codes >> RARE))
 
 
-def deep_states(training: DataFrame, alphabet: Broadcast, tree: Broadcast, *, min_deep: int, divergence: float, discount: float) -> DataFrame:
+def deep_states(training: DataFrame, alphabet: Broadcast, tree: Broadcast, n_all: int, *, min_deep: int, divergence: float, discount: float) -> DataFrame:
     """(ctx, sym, delta, total): the deep states' listed followers with what
     log10 their probability is above all unlisted ones' change, and one row
     OTHER a state with that change. Contexts of a text's start alone are left
     to the first kind."""
 
+    bits = max(6, min(BLOOM, (n_all // PART).bit_length()))  # parts of about PART contexts at any size
+    rest_bits = np.uint64(32 - (BLOOM - bits))
+
     def contexts(batches):
         end = shared(alphabet).head[END]
         for batch in text_slices(batches, column="codes", limit=6 << 20):
             codes, sizes = read_codes(batch)
             ctx, may = deep_contexts(codes, np.cumsum(sizes) - sizes, end)
             ctx, n = np.unique(ctx[may], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ctx, np.minimum(n, min_deep)).view(np.int64))], names=["ctx"])
-
-    seen = training.select("codes").mapInArrow(contexts, "ctx long").repartition("ctx")
-    often = seen.groupBy("ctx").agg(F.count("*").alias("n")).filter(F.col("n") >= min_deep)
-    flags = share(training.sparkSession, flag_table(often.select(F.shiftrightunsigned("ctx", 64 - BLOOM).alias("place")), BLOOM))
+            ctx = np.repeat(ctx, np.minimum(n, min_deep))
+            part, first = np.unique((ctx >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
+            ends = pa.py_buffer(np.append(first, len(ctx)).astype("<i4") * np.int32(4))
+            rest = pa.py_buffer((ctx << np.uint64(bits) >> np.uint64(32)).astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.Array.from_buffers(pa.binary(), len(part), [None, ends, rest])], names=["part", "rest"])
+
+    def repeated(key, found):
+        rest, n = np.unique(np.frombuffer(b"".join(found.column("rest").to_pylist()), dtype="<u4"), return_counts=True)
+        place = np.unique((np.uint64(key[0].as_py()) << np.uint64(BLOOM - bits)) | (rest[n >= min_deep].astype(np.uint64) >> rest_bits))
+        word, first = np.unique(place >> np.uint64(6), return_index=True)
+        flag = np.uint64(1) << (place & np.uint64(63))
+        return pa.table({"w": word.astype(np.int64), "v": (np.bitwise_or.reduceat(flag, first) if len(first) else flag).view(np.int64)})
+
+    seen = training.select("codes").mapInArrow(contexts, "part long, rest binary")
+    flags = share(training.sparkSession, flags_of(seen.groupBy("part").applyInArrow(repeated, "w long, v long"), BLOOM))
 
     def count(batches):
         score, known = Scorer(shared(alphabet), shared(tree)), shared(flags)
@@ -483,7 +501,7 @@ def score_documents(docs: DataFrame, *, held_out_divisor: int = 7, held_out_rema
     encoded = materialize(encode(docs, alphabet))
     training = encoded.filter(~F.col("held_out"))
     tree = share(spark, build_tree(training, letters, alphabet, depth=depth, min_share=min_share, divergence=divergence, discount=discount))
-    states = materialize(deep_states(training, alphabet, tree, min_deep=min_deep, divergence=divergence, discount=discount))
+    states = materialize(deep_states(training, alphabet, tree, n_all, min_deep=min_deep, divergence=divergence, discount=discount))
     floor = math.log10(n_all + n_kinds + 1)
 
     def score(batches):
