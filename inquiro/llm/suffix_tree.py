@@ -15,9 +15,10 @@ Contexts are of two kinds.
   tokens. There are at most 1 / min_share a level and 4 / min_share listed
   symbols whatever the input's size; they are what is broadcast.
   Of DEEP words: every context that occurs `min_deep` times or more, so what
-  the model holds grows with the corpus. Contexts are counted by their hashes
-  alone first, then those that repeat with their followers. They are never gathered: counts,
-  divergence and smoothing are joins over hashed contexts (64 bits). The
+  the model holds grows with the corpus. Those that repeat are found first:
+  32 bits of their hashes are grouped by parts of about PART contexts (one
+  that passes wrongly is caught in the counts), then they are counted with
+  their followers. They are never gathered: counts, divergence and smoothing are joins over hashed contexts (64 bits). The
   suffix of such a state is the longest of the first kind. In it a word of
   the HEAD most frequent is its own symbol, any other its class. Texts meet
   their states in a join, of which a table of 2^BLOOM flags, of fixed size,
