@@ -10,7 +10,7 @@ from inquiro.operators import stars
 from inquiro.operators.numbering import numbered
 from inquiro.storage import materialize
 
-ROWS = 20_000_000  # of (source, edge) that a block of betweenness walks at once
+ROWS, SOURCES = 4_000_000, 32  # (lane, edge) pairs that a round of betweenness walks at once; sources of a lane
 SWEEP_EDGES = 2_000_000  # a component with more is not swept in order
 
 
@@ -132,47 +132,61 @@ def components(adj: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def betweenness(nodes: DataFrame, adj: DataFrame, *, rows: int = ROWS) -> DataFrame:
+def betweenness(nodes: DataFrame, adj: DataFrame, *, rows: int = ROWS, sources: int = SOURCES) -> DataFrame:
     """(id, betweenness): exact, over all shortest paths.
 
-    Sources are dealt into blocks of about `rows` (source, edge) pairs. A
-    block walks breadth first from all its sources at once: a level is the
-    frontier joined with the edges, path counts summed a (source, node), the
-    level before and the same one anti-joined (an undirected edge reaches no
-    other). Then dependencies are summed level by level on the way back.
-    Nothing but counts reaches the driver. Exact betweenness takes nodes x
-    edges steps; blocks bound the space, not the time.
+    `sources` sources share a row: (node, lane, x0, x1, ..), one number for each
+    of them, zero where the node is not on the level. A level is one join with
+    the edges and one sum by node and lane; nodes of the two levels before
+    count as NaN in that sum, so they drop out without a join (an undirected
+    edge reaches no earlier one). Dependencies are summed level by level on
+    the way back. Lanes go in rounds of about `rows` (lane, edge) pairs, which
+    bounds the space; the time is nodes x edges steps, as exact betweenness
+    takes. Nothing but counts reaches the driver.
     """
     n, m = nodes.count(), adj.count()
-    if n < 3:
+    if n < 3 or not m:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    adj = materialize(adj.repartition("a"))
-    blocks = max(1, -(-n * m // rows))
+    number = materialize(numbered(nodes.select("id").distinct(), "id").select("id", (F.col("n") - 1).alias("v")))
+    ends = adj.join(number.select(F.col("id").alias("a"), F.col("v").alias("from")), "a").join(number.select(F.col("id").alias("b"), F.col("v").alias("to")), "b")
+    ends = materialize(ends.select("from", "to"))
+    xs = [f"x{i}" for i in range(sources)]
+    lanes = max(1, rows // m)
     total = None
-    for k in range(blocks):
-        own = nodes.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        levels = [materialize(own.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+
+    def sent(level: DataFrame) -> DataFrame:
+        """What each node's neighbours get of it."""
+        return level.join(ends, F.col("v") == F.col("from")).select(F.col("to").alias("v"), "lane", *xs)
+
+    def summed(messages: DataFrame) -> DataFrame:
+        return messages.groupBy("v", "lane").agg(*[F.sum(x).alias(x) for x in xs])
+
+    for first in range(0, -(-n // sources), lanes):
+        own = number.withColumn("lane", F.floor(F.col("v") / sources)).filter(F.col("lane").between(first, first + lanes - 1))
+        levels = [materialize(own.select("v", "lane", *[F.when(F.col("v") % sources == i, 1.0).otherwise(0.0).alias(x) for i, x in enumerate(xs)]))]
         while True:
-            step = levels[-1].join(adj, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
-            before = levels[-1].select("s", "v") if len(levels) < 2 else levels[-1].select("s", "v").unionByName(levels[-2].select("s", "v"))
-            new = materialize(step.join(before, ["s", "v"], "left_anti"))
+            met = sent(levels[-1])
+            for before in levels[-2:]:
+                met = met.unionByName(before.select("v", "lane", *[F.when(F.col(x) > 0, F.lit(float("nan"))).otherwise(0.0).alias(x) for x in xs]))
+            new = summed(met).select("v", "lane", *[F.nanvl(x, F.lit(0.0)).alias(x) for x in xs])
+            new = materialize(new.filter(F.greatest(*xs) > 0))
             if not new.take(1):
                 break
             levels.append(new)
-        back = None  # (s, v, paths, share) of the level behind
-        for level in range(len(levels) - 1, 0, -1):
-            here = levels[level].select("s", "v", "paths", F.lit(0.0).alias("share"))
+        back = None  # of the level behind: (1 + dependency) / paths, zero where it has no paths
+        for level in reversed(levels[1:]):
+            here = level.select("v", "lane", *xs, *[F.lit(0.0).alias(f"d{x}") for x in xs])
             if back is not None:
-                got = back.join(adj, F.col("v") == F.col("a")).select("s", F.col("b").alias("v"), ((1 + F.col("share")) / F.col("paths")).alias("x")).groupBy("s", "v").agg(F.sum("x").alias("x"))
-                here = levels[level].join(got, ["s", "v"], "left").select("s", "v", "paths", (F.coalesce("x", F.lit(0.0)) * F.col("paths")).alias("share"))
-            back = materialize(here)
-            part = back.groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("x"))
+                got = summed(sent(back)).select("v", "lane", *[F.col(x).alias(f"g{x}") for x in xs])
+                here = level.join(got, ["v", "lane"], "left").select("v", "lane", *xs, *[(F.col(x) * F.coalesce(f"g{x}", F.lit(0.0))).alias(f"d{x}") for x in xs])
+            all_of = sum((F.col(f"d{x}") for x in xs[1:]), F.col(f"d{xs[0]}"))
+            back = materialize(here.select("v", "lane", *[F.when(F.col(x) > 0, (1 + F.col(f"d{x}")) / F.col(x)).otherwise(0.0).alias(x) for x in xs], all_of.alias("all")))
+            part = back.groupBy("v").agg(F.sum("all").alias("all"))
             total = part if total is None else total.unionByName(part)
-    scale = float((n - 1) * (n - 2))
-    if total is None:
+    if total is None:  # no edge has both ends among the nodes
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    summed = total.groupBy("id").agg(F.sum("x").alias("x"))
-    return nodes.select("id").join(summed, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) / scale).alias("betweenness"))
+    shares = number.join(total.groupBy("v").agg(F.sum("all").alias("all")), "v").select("id", "all")
+    return nodes.select("id").join(shares, "id", "left").select("id", (F.coalesce("all", F.lit(0.0)) / float((n - 1) * (n - 2))).alias("betweenness"))
 
 
 def communities(nodes: DataFrame, adj: DataFrame, *, passes: int = 10, sweep_edges: int = SWEEP_EDGES) -> DataFrame:
