@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inquiro.llm import chat_template, decontamination, line_rules, link_filter, mixing, sharding, simhash, suffix_tree, token_counts, toxicity
+from inquiro.llm import chat_template, decontamination, line_dedup, line_rules, link_filter, mixing, prefix_trie, sharding, simhash, source_divergence, suffix_tree, token_counts, toxicity
 from inquiro.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.format_conversations(chat_template.with_control_case(table(spark, sf_dir, "conversations")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,6 +71,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_tree, op2_link_filter, op3_line_rules, op4_simhash, op5_toxicity, op6_sharding, op7_decontamination, op8_token_counts, op9_mixing, op10_chat_template, pipeline)
+    f.__name__: f for f in (op1_suffix_tree, op2_link_filter, op3_line_rules, op4_simhash, op5_toxicity, op6_sharding, op7_decontamination, op8_token_counts, op9_mixing, op10_chat_template, op11_source_divergence, op12_prefix_trie, op13_line_dedup, pipeline)
 }
-ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL, "op11_source_divergence": source_divergence.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_line_dedup": line_dedup.ORACLE_SQL}
