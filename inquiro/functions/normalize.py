@@ -20,80 +20,131 @@ PLANS: dict[str, list[tuple[str, str, str, bool]]] = {
 # Match keys derived from a field, by dataset.
 DERIVED = {"VEHICLE": [("owner_normalized", "owner_name")], "LOCATION": [("name_normalized", "name")]}
 ID_PATTERN = "^[A-Za-z0-9_-]{1,64}$"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
+
+
+# White space: ASCII blanks and controls and all Unicode spaces, as a set of characters.
+_WS = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, f"^[{_WS}]+|[{_WS}]+$", "")
+
+
+def _single_spaced(t: Column) -> Column:
+    return F.regexp_replace(t, f"[{_WS}]+", " ")
 
 
 def whitespace(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    return _single_spaced(strip(c))
 
 
 def name_key(c: Column) -> Column:
     return F.lower(whitespace(c))
 
 
-def phone(c: Column) -> Column:
-    d = F.regexp_replace(c, r"[\s\-().]", "")
-    return F.when(d.rlike(r"^\+?91\d{10}$"), F.concat(F.lit("+91"), F.right(d, F.lit(10)))).when(d.rlike(r"^\+?\d{10}$"), F.concat(F.lit("+91"), F.right(d, F.lit(10))))
+def _only(t: Column, pattern: str) -> Column:
+    """The pattern's group if the whole text matches, else null."""
+    return F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
 
 
-def vehicle(c: Column) -> Column:
-    d = F.upper(F.regexp_replace(c, r"[\s\-]", ""))
-    return F.when(d.rlike(r"^[A-Z]{2}\d{2}[A-Z]{2}\d{4}$"), d)
+def _phone(t: Column) -> Column:
+    return F.concat(F.lit("+91"), _only(F.regexp_replace(t, f"[{_WS}\\-().]", ""), r"^\+?(?:91)?(\d{10})$"))
 
 
-def account(c: Column) -> Column:
-    d = F.upper(F.regexp_replace(c, r"[\s\-]", ""))
-    return F.when(d.rlike(r"^[A-Z0-9]{3,32}$"), d)
+def _vehicle(t: Column) -> Column:
+    return _only(F.upper(F.regexp_replace(t, f"[{_WS}\\-]", "")), r"^([A-Z]{2}\d{2}[A-Z]{2}\d{4})$")
+
+
+def _account(t: Column) -> Column:
+    return _only(F.upper(F.regexp_replace(t, f"[{_WS}\\-]", "")), "^([A-Z0-9]{3,32})$")
 
 
 _PLAIN = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{1,2}):(\d{1,2})|T(\d{1,2}):(\d{1,2}))?$"
-_ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:.(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,]\d+)?)?)?(?:([+-])(\d{2}):?(\d{2})?(?::?(\d{2}))?)?)?$"
+_ISO = r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:.(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,]\d+)?)?)?(?:([+-]\d{2}):?(\d{2})?(?::?(\d{2}))?)?)?$"
+
+
+def _timestamp(t: Column) -> Column:
+    t = strip(F.regexp_replace(t, "Z$", ""))
+    padded = F.regexp_replace(t, r"(?<=[-T :])(\d)(?=[-T :]|$)", "0$1")
+    # parts that a text lacks leave bare colons, which become zeros or go
+    parts = F.regexp_replace(F.regexp_replace(t, _ISO, "$1-$3-$4T$5:$7:$8 $9:$10:$11"), "(?:T::)? ::$", "")
+    iso = F.regexp_replace(F.regexp_replace(parts, "(?<=:)(?=:| |$)", "00"), " ", "")
+    return F.date_format(F.try_to_timestamp(F.when(t.rlike(_PLAIN), padded).when(t.rlike(_ISO), iso)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _date(t: Column) -> Column:
+    return F.substring(_timestamp(t), 1, 10)
+
+
+def _number(t: Column) -> Column:
+    return _only(t, _NUMBER).try_cast("double")
+
+
+def _amount(t: Column) -> Column:
+    n = _number(strip(F.regexp_replace(t, ",", "")))
+    return F.when(n >= 0, n)
+
+
+def _integer(t: Column) -> Column:
+    n = _only(t, r"^([+-]?\d+)$").try_cast("bigint")
+    return F.when(n >= 0, n)
+
+
+def _within(t: Column, most: int) -> Column:
+    n = _number(t)
+    return F.when(n.between(-most, most), n)
+
+
+#: By rule, the normal form of a text without white space at its ends.
+OF_STRIPPED = {
+    "text": _single_spaced, "upper": lambda t: F.upper(_single_spaced(t)), "phone": _phone, "vehicle": _vehicle, "account": _account, "timestamp": _timestamp, "date": _date,
+    "amount": _amount, "integer": _integer, "latitude": lambda t: _within(t, 90), "longitude": lambda t: _within(t, 180),
+}
+
+
+def phone(c: Column) -> Column:
+    return _phone(strip(c))
+
+
+def vehicle(c: Column) -> Column:
+    return _vehicle(strip(c))
+
+
+def account(c: Column) -> Column:
+    return _account(strip(c))
 
 
 def timestamp(c: Column) -> Column:
     """ISO text in UTC to the second, of dates and times with year, month and
     day in that order; offsets are taken off, fractions cut, one Z at the end
     is ignored. The session time zone must be UTC."""
-    t = F.regexp_replace(whitespace(c), r" ?Z$", "")
-    padded = F.regexp_replace(t, r"(?<=[-T :])(\d)(?=[-T :]|$)", "0$1")
-    # a space before the time, minutes after a lone hour, a point, a colon in the offset
-    iso = F.regexp_replace(F.regexp_replace(t, r"^(.{10}).(\d{2})(?=$|[+-])", "$1 $2:00"), r"^(.{10}).", "$1 ")
-    iso = F.regexp_replace(F.regexp_replace(F.regexp_replace(iso, ",", "."), r"(:[\d.]+[+-]\d{2})$", "$1:00"), r"(:[\d.]+[+-]\d{2})(\d{2})$", "$1:$2")
-    return F.date_format(F.try_to_timestamp(F.when(t.rlike(_PLAIN), padded).when(t.rlike(_ISO), iso)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _timestamp(strip(c))
 
 
 def date(c: Column) -> Column:
     return F.substring(timestamp(c), 1, 10)
 
 
-def _number(c: Column) -> Column:
-    t = F.trim(c)
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
-
-
 def amount(c: Column) -> Column:
-    n = _number(F.regexp_replace(c, ",", ""))
-    return F.when(n >= 0, n)
+    return _amount(strip(c))
 
 
 def integer(c: Column) -> Column:
-    n = F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("bigint"))
-    return F.when(n >= 0, n)
+    return _integer(strip(c))
 
 
 def latitude(c: Column) -> Column:
-    return F.when(_number(c).between(-90, 90), _number(c))
+    return _within(strip(c), 90)
 
 
 def longitude(c: Column) -> Column:
-    return F.when(_number(c).between(-180, 180), _number(c))
-
-
-RULES = {"text": whitespace, "upper": lambda c: F.upper(whitespace(c)), "phone": phone, "vehicle": vehicle, "account": account, "timestamp": timestamp, "date": date, "amount": amount, "integer": integer, "latitude": latitude, "longitude": longitude}
+    return _within(strip(c), 180)
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | ~c.rlike(f"[^{_WS}]")
 
 
 def score(c: Column) -> Column:
@@ -109,12 +160,6 @@ def edge_id(src: Column, kind: Column, dst: Column, key: Column) -> Column:
     return F.concat(F.lit("rel_"), F.substring(F.sha2(F.concat_ws("|", src, kind, dst, key), 256), 1, 16))
 
 
-def day_and_hour(ts: Column) -> tuple[Column, Column]:
-    """The day and the hour of ISO text; null where it is shorter."""
-    day, hour = F.substring(ts, 1, 10), F.substring(ts, 12, 2).try_cast("int")
-    return F.when(F.length(day) == 10, day), hour
-
-
 def reasons(features: dict[str, Column], medians: dict[str, Column]) -> Column:
     """Texts of the features that stand out against their medians."""
     # Feature, floor, multiple of the median, text.
@@ -165,8 +210,12 @@ def shown_integer(c: Column) -> Column:
     return F.when(c.isNull(), "—").otherwise(F.format_number(c, 0))
 
 
+# Fixed value: words before a name that say a role.
+ROLE_WORDS = r"^(?:complainant|accused|victim|witness|informant|suspect)s?\b\s+"
+
+
 def clean_person(c: Column) -> Column:
     """A name without a leading role word and marks at its ends; null if under
     2 or over 256 characters are left."""
-    name = F.btrim(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"(?i)^(?:complainant|accused|victim|witness|informant|suspect)s?\b\s+", ""), F.lit(" ,."))
+    name = F.btrim(F.regexp_replace(strip(c), f"(?i){ROLE_WORDS}", ""), F.lit(" ,."))
     return F.when(F.length(name).between(2, 256), name)

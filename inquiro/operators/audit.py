@@ -15,12 +15,12 @@ def json_text(c: Column) -> Column:
     """A JSON string in ASCII alone, quotes included."""
     def one(x: Column) -> Column:
         code = F.lower(F.regexp_replace(F.hex(F.encode(x, "UTF-16BE")), "(.{4})", r"\\u$1"))
-        out = F.when(x.rlike(r"^[\x20-\x7f]$"), x).otherwise(code)
+        out = F.when(x.rlike(r"^[\x20-\x7e]$"), x).otherwise(code)
         for k, v in _SHORT.items():
             out = F.when(x == F.lit(k), F.lit(v)).otherwise(out)
         return out
 
-    plain = c.rlike(r'^[\x20\x21\x23-\x5b\x5d-\x7f]*$')
+    plain = c.rlike(r'^[\x20\x21\x23-\x5b\x5d-\x7e]*$')
     escaped = F.array_join(F.transform(F.split(c, ""), one), "")
     return F.concat(F.lit('"'), F.when(plain, c).otherwise(escaped), F.lit('"'))
 

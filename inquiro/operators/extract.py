@@ -101,7 +101,7 @@ def _checked(kind: str, raw: str) -> str | None:
 
 
 def _person(raw: str) -> str | None:
-    name = re.sub(r"^(?:complainant|accused|victim|witness|informant|suspect)s?\b\s+", "", raw.strip(), flags=re.I).strip(" ,.")
+    name = re.sub(N.ROLE_WORDS, "", raw.strip(), flags=re.I).strip(" ,.")
     return name if 2 <= len(name) <= MAX_NAME else None
 
 

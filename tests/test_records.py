@@ -38,14 +38,19 @@ def test_timestamps(spark):
         t = t.astimezone(dt.timezone.utc).replace(tzinfo=None) if t.tzinfo else t
         return t.strftime("%Y-%m-%dT%H:%M:%SZ")
 
-    texts = ["2026-07-03T22:26:00Z", "2026-07-03 01:00:00+05:30", "2026-07-03T01:00:00-0330", "yesterday", "2026", "03/07/2026 10:00", "2026-7-3", "2026-07-03T9:05:00", "2026-07-03 10:00", "2026-07-03T10", " 2026-07-03 ", "2026-02-30", "2026-07-03T25:00:00", "2026-07-03T10:00:00.987", "2026-07-03T10:00:00,5+02", "2026-07-03T10:61", "2026-13-01", ""]
+    texts = ["2026-07-03T22:26:00Z", "2026-07-03 01:00:00+05:30", "2026-07-03T01:00:00-0330", "yesterday", "2026", "03/07/2026 10:00", "2026-7-3", "2026-07-03T9:05:00", "2026-07-03 10:00", "2026-07-03T10", " 2026-07-03 ", "2026-02-30", "2026-07-03T25:00:00", "2026-07-03T10:00:00.987", "2026-07-03T10:00:00,5+02", "2026-07-03T10:61", "2026-13-01", "", "20260102", "20260102T103000", "20260102T10:30+0530", "2026-01-02T103000Z", "2026-01-02T10:30:00+05:30:30", "20260102T1030", "20260102T10+05", "202601", "2026-0102", "\t2026-01-02\n", "\u00a02026-01-02T05:00:00 Z"]
     assert values(spark, N.timestamp, texts) == [want(t) for t in texts]
     assert values(spark, N.date, ["2026-07-03 01:00:00+05:30"]) == ["2026-07-02"]
 
 
 def test_numbers_and_names(spark):
     assert values(spark, N.amount, ["1,200.5", "-1", "nan", "1_000"]) == [1200.5, None, None, None]
-    assert values(spark, N.integer, ["60", "60.0", "-2"]) == [60, None, None]
+    assert values(spark, N.integer, ["60", "60.0", "-2", "7\n"]) == [60, None, None, 7]
+    assert values(spark, N.amount, ["5\t", "\u00a05", ", 5", "1.e3", "."]) == [5.0, 5.0, 5.0, 1000.0, None]
+    assert values(spark, N.latitude, ["5\t", "90.1", "\x1c-90"]) == [5.0, None, -90.0]
+    assert values(spark, N.blank, ["", " ", "\t", "\n\r", "\u00a0", "\u2003\x1f", "x", " x", None]) == [True] * 6 + [False, False, True]
+    assert values(spark, N.whitespace, ["\u00a0a \u2003\t b\x1c"]) == ["a b"]
+    assert values(spark, N.phone, ["98765\u00a043210\t"]) == ["+919876543210"]
     assert values(spark, N.clean_person, ["Complainant Rahul Sharma,", "witnesses  Anil", "Suspects A", " Rita. ", "x" * 257, "accused"]) == ["Rahul Sharma", "witnesses  Anil", None, "Rita", None, "accused"]
     assert values(spark, lambda c: N.shown_score(c.cast("double")), ["0.126", None]) == ["0.13", "—"]
     assert values(spark, lambda c: N.shown_percent(c.cast("double")), ["0.126", None]) == ["13%", "—"]
@@ -70,6 +75,27 @@ def test_structural_errors_end_a_record(spark):
     assert files.run_status(standard.filter("record > 0")).first().status == "FAILED" and files.run_status(standard.filter("record = 0")).first().status == "SUCCEEDED"
 
 
+@pytest.mark.parametrize("empty", ["\t", "\n", "\u00a0", " \u2003 "])
+def test_required_fields_of_white_space_are_missing(spark, empty):
+    rows = [("C1", "9876543210", "9876543211", "2026-01-01T00:00:00Z", empty), ("C2", "9876543210\t", "9876543211", "2026-01-01", "5\n"), (empty, "9876543210", "9876543211", "2026-01-01", "5")]
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], CALL + ", record long")
+    names = [c for c in frame.columns if c != "record"]
+    mapped = frame.select("record", F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*names)).alias("fields"))
+    for records in (frame, mapped):
+        standard = files.standardize(records, "CDR")
+        valid, errors = files.split_records(standard)
+        assert [(r.source_id, r.normalized.duration, r.original["duration"]) for r in valid.collect()] == [("C2", 5, "5\n")]
+        assert {(e.record, e.field, e.code) for e in errors.collect()} == {(0, "duration", "MISSING_REQUIRED_FIELD"), (2, "cdr_id", "MISSING_REQUIRED_FIELD"), (2, "cdr_id", "INVALID_RECORD_STRUCTURE")}
+        assert standard.filter("record = 2").first().source_id == "upload#L3"
+
+
+def test_every_field_is_computed_once(spark):
+    """The texts of a record are stripped once each, whatever uses them."""
+    frame = spark.createDataFrame([("C1", "9876543210", "9876543211", "2026-01-01T00:00:00Z", "5", 0)], CALL + ", record long")
+    plan = files.standardize(frame, "CDR")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("]+|[") <= 5 + 2 * 2  # five fields; the two phones' and the time's own inner strips
+
+
 def test_optional_fields_and_derived_keys(spark):
     rows = [("L1", " New  Delhi ", "28.6", ""), ("L2", "x", "91", "77")]
     got = {r.source_id: r for r in files.standardize(spark.createDataFrame(rows, "location_id string, name string, latitude string, longitude string"), "LOCATION").collect()}
