@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import re
 from functools import reduce
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inquiro.functions import normalize as N
+from inquiro.operators import names as names_
+from inquiro.operators import tagger
 
 # Method, type, pattern, confidence.
 PATTERNS = [
@@ -22,8 +25,8 @@ PATTERNS = [
 ]
 # Confidence of names; priority of methods, the lower wins.
 GAZETTEER_CONFIDENCE = {"PERSON": 0.87, "LOCATION": 0.85}
-REGEX_PRIORITY, GAZETTEER_PRIORITY = 1, 2
-MAX_NAME, BACKEND = 256, "rules_only"
+REGEX_PRIORITY, GAZETTEER_PRIORITY, NER_PRIORITY = 1, 2, 3
+MAX_NAME, BACKEND, TAGGER_BACKEND = 256, "rules_only", "ner+rules"
 _NORMAL = {"PHONE": N.phone, "VEHICLE": N.vehicle, "ACCOUNT": N.account, "DATE": N.date}
 _TOKEN = r"[^\p{L}\p{N}_]+"
 SPANS = "span_id string, type string, value string, normalized_value string, raw string, start long, end long, confidence double, method string, nlp_backend string"
@@ -105,54 +108,112 @@ def _person(raw: str) -> str | None:
     return name if 2 <= len(name) <= MAX_NAME else None
 
 
+# Type to the label that a method names, and its confidence.
+NER = {"PERSON": ("person", 0.90), "ORGANIZATION": ("org", 0.85), "LOCATION": ("gpe", 0.85)}
+
+
 class SpanFinder:
     """The spans of a text after overlap resolution."""
 
-    def __init__(self, names: list[tuple[str, str]]):
+    def __init__(self, find_names: names_.Names | None = None, weights: tagger.Weights | None = None):
         self.patterns = [(m, k, re.compile(p), c) for m, k, p, c in PATTERNS]
-        self.names = [(t, re.compile(r"(?i)(?<!\w)" + r"\s+".join(map(re.escape, n.split())) + r"(?!\w)")) for t, n in names if n.split() and len(n) <= MAX_NAME]
+        self.find_names, self.weights = find_names, weights
+        self.backend = BACKEND if weights is None else TAGGER_BACKEND
 
-    def __call__(self, text: str) -> list[tuple]:
+    def __call__(self, text: str, hits: list[tuple[int, str, int, int]] | None = None) -> list[tuple]:
+        """hits: (number, kind, start, end) of listed names, if they are known."""
         found = []
         for method, kind, pattern, confidence in self.patterns:
             for m in pattern.finditer(text):
                 value = _checked(kind, m[0])
                 if value is not None:
                     found.append((REGEX_PRIORITY, m.start(), m.end(), kind, value, value, m[0], confidence, method))
-        for kind, pattern in self.names:
-            for m in pattern.finditer(text):
-                value = _person(m[0]) if kind == "PERSON" else m[0].strip()
-                if value:
-                    found.append((GAZETTEER_PRIORITY, m.start(), m.end(), kind, value, " ".join(value.split()).lower(), m[0], GAZETTEER_CONFIDENCE[kind], "gazetteer"))
-        taken: list[tuple] = []
-        for s in sorted(found, key=lambda s: (s[0], s[1] - s[2])):
-            if all(s[2] <= t[1] or s[1] >= t[2] for t in taken):
-                taken.append(s)
-        return sorted(taken, key=lambda s: s[1:3])
-
-
-def extract_spans(docs: DataFrame, names: list[tuple[str, str]] = (), cap: int | None = None) -> DataFrame:
+        if hits is None:
+            hits = self.find_names(text) if self.find_names else []
+        for _, kind, start, end in hits:
+            found.append(self.named(GAZETTEER_PRIORITY, kind, text[start:end], start, end, GAZETTEER_CONFIDENCE[kind], "gazetteer"))
+        if self.weights is not None:
+            for kind, start, end in tagger.spans_of(text, self.weights):
+                if end - start <= MAX_NAME:
+                    label, confidence = NER[kind]
+                    found.append(self.named(NER_PRIORITY, kind, text[start:end], start, end, confidence, f"ner_{label}"))
+        starts: list[int] = []
+        taken: list[tuple] = []  # disjoint, in order of place
+        for s in sorted(filter(None, found), key=lambda s: (s[0], s[1] - s[2])):
+            at = bisect.bisect(starts, s[1])
+            if (at == 0 or taken[at - 1][2] <= s[1]) and (at == len(taken) or taken[at][1] >= s[2]):
+                starts.insert(at, s[1])
+                taken.insert(at, s)
+        return taken
+
+    @staticmethod
+    def named(priority: int, kind: str, raw: str, start: int, end: int, confidence: float, method: str) -> tuple | None:
+        value = _person(raw) if kind == "PERSON" else raw.strip()
+        return (priority, start, end, kind, value, " ".join(value.split()).lower(), raw, confidence, method) if value else None
+
+
+def extract_spans(docs: DataFrame, names: DataFrame | list[tuple[str, str]] = (), cap: int | None = None, weights: tagger.Weights | None = None, *, shard_bytes: int = names_.SHARD_BYTES) -> DataFrame:
     """The entities of each text of docs(doc_id, text): of overlapping spans
-    the method of lower priority, then the longer span, then the pattern
-    listed first wins; numbered in order of place. A match without a normal
-    form is none. Whole texts are read unless a cap on their characters is
-    given. names: (PERSON or LOCATION, name), sent to every task."""
-    finder = docs.sparkSession.sparkContext.broadcast(list(names))
+    the method of lower priority, then the longer span, then the pattern or
+    name listed first wins; numbered in order of place. A match without a
+    normal form is none. Whole texts are read unless a cap on their characters
+    is given.
+
+    names: (PERSON or LOCATION, name), as a list or as a table(type, name), of
+    which the order is by hash. Up to shard_bytes of names go to every task;
+    more are met in shards (names.find_names) and come back as the hits of each
+    text. weights: of a trained tagger, which adds names that no list has.
+    """
+    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text" if cap is None else F.substring("text", 1, cap).alias("text"))
+    if not isinstance(names, DataFrame):
+        numbers = {pair: k for k, pair in reversed(list(enumerate(names)))}
+        known, small = [(k, *pair) for pair, k in numbers.items()], sum(len(n.encode()) for _, n in names) <= shard_bytes
+        table = None if small else spark.createDataFrame(list(names), "type string, name string")
+    else:
+        small, table = names_.bytes_of(names) <= shard_bytes, names
+        known = sorted(tuple(r) for r in names_.listed(names).collect()) if small else []
+    sent = sc.broadcast((known, weights and (weights.of, weights.step)))
+    hits = F.lit(None).cast("array<struct<number:long,kind:string,start:long,end:long>>")
+    if small:
+        rows = rows.withColumn("hits", hits)
+    else:
+        key = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0002")), F.col("text")), 256)
+        keyed = rows.withColumn("row", key)
+        found = names_.find_names(keyed.select("row", "text").filter("text <> ''").distinct(), table, shard_bytes=shard_bytes)
+        each = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("number", "kind", "start", "end"))).alias("hits"))
+        rows = keyed.join(each, "row", "left").select("doc_id", "text", F.coalesce("hits", F.array().cast("array<struct<number:long,kind:string,start:long,end:long>>")).alias("hits"))
 
     def run(frames):
-        find = SpanFinder(finder.value)
+        listed, arrays = sent.value
+        find = SpanFinder(names_.Names(listed) if small else None, arrays and tagger.Weights(*arrays))
         for pdf in frames:
-            rows = [
-                (doc, f"temp_{i:03d}", s[3], s[4], s[5], s[6], s[1], s[2], s[7], s[8], BACKEND)
-                for doc, text in zip(pdf.doc_id, pdf.text)
-                for i, s in enumerate(find((text or "")[:cap]), 1)
+            made = [
+                (doc, f"temp_{i:03d}", s[3], s[4], s[5], s[6], s[1], s[2], s[7], s[8], find.backend)
+                for doc, text, hit in zip(pdf.doc_id, pdf.text, pdf.hits)
+                for i, s in enumerate(find(text or "", None if small else [(h["number"], h["kind"], h["start"], h["end"]) for h in hit]), 1)
             ]
-            out = pd.DataFrame(rows, columns=["doc_id", *(c.split()[0] for c in SPANS.split(", "))])
+            out = pd.DataFrame(made, columns=["doc_id", *(c.split()[0] for c in SPANS.split(", "))])
             out["doc_id"] = out["doc_id"].astype(pdf.doc_id.dtype)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {SPANS}")
+    return rows.mapInPandas(run, f"doc_id {kind}, {SPANS}")
+
+
+def learn_names(docs: DataFrame, names: DataFrame, **settings: int) -> tagger.Weights:
+    """A tagger trained on the listed names(type, name) where docs(doc_id,
+    text) hold them; type may be ORGANIZATION too. Of names within names the
+    longest is marked."""
+    keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("row")).filter("text <> ''")
+    hits = names_.find_names(keyed.select("row", "text").distinct(), names).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("hits"))
+
+    def longest(hits: Column) -> Column:
+        inside = lambda h: F.exists(hits, lambda o: (o.start <= h.start) & (o.end >= h.end) & (o.end - o.start > h.end - h.start))
+        return F.filter(hits, lambda h: ~inside(h))
+
+    known = keyed.join(hits, "row").select("doc_id", "text", longest(F.col("hits")).alias("spans"))
+    return tagger.train(known, **settings)
 
 
 # What is read of each dataset, text fields or identifiers.
