@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inquiro.operators import stars
+from inquiro.operators.communities import communities
 from inquiro.operators.numbering import numbered
 from inquiro.storage import materialize
 
 ROWS, SOURCES = 4_000_000, 32  # (lane, edge) pairs that a round of betweenness walks at once; sources of a lane
-SWEEP_EDGES = 2_000_000  # a component with more is not swept in order
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -189,21 +189,13 @@ def betweenness(nodes: DataFrame, adj: DataFrame, *, rows: int = ROWS, sources:
     return nodes.select("id").join(shares, "id", "left").select("id", (F.coalesce("all", F.lit(0.0)) / float((n - 1) * (n - 2))).alias("betweenness"))
 
 
-def communities(nodes: DataFrame, adj: DataFrame, *, passes: int = 10, sweep_edges: int = SWEEP_EDGES) -> DataFrame:
-    """(id, community): local moves of modularity, numbered by least member.
-
-    The rule visits nodes one after the other in order, so it is sequential
-    within a component and independent between components: each component is
-    swept in one task, which equals one sweep over all. That holds for
-    components of at most `sweep_edges` edges. A larger one would not fit a
-    task; there all nodes of one half (by hash and round) move at once by the
-    same gain, in joins, which gives communities of the same kind but not the
-    same ones. Both kinds may occur in one graph.
-    """
+def swept_communities(nodes: DataFrame, adj: DataFrame, *, passes: int = 10) -> DataFrame:
+    """(id, community): local moves of modularity, node after node in order of
+    id, numbered by least member. That rule is sequential within a component,
+    so each component is swept in one task and must fit it; communities() has
+    no such bound."""
     comp = materialize(components(adj, nodes))
     m2 = adj.count()
-    sized = comp.join(adj.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("k")), "id", "left").groupBy("component").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("size"))
-    large = materialize(sized.filter(F.col("size") > 2 * sweep_edges).select("component"))
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf.a) | set(pdf.b.dropna()))
@@ -235,37 +227,12 @@ def communities(nodes: DataFrame, adj: DataFrame, *, passes: int = 10, sweep_edg
             first.setdefault(c, names[v])
         return pd.DataFrame({"id": names, "first": [first[c] for c in own]})
 
-    small = comp.join(large, "component", "left_anti")
-    rows = small.select(F.col("id").alias("a"), "component").join(adj, "a", "left")
+    rows = comp.select(F.col("id").alias("a"), "component").join(adj, "a", "left")
     placed = materialize(rows.groupBy("component").applyInPandas(sweep, "id string, first string"))
-    if large.take(1):
-        placed = placed.unionByName(_moved_at_once(comp.join(large, "component", "left_semi").select("id"), adj, m2, 2 * passes))
     number = numbered(placed.select("first").distinct(), "first", name="community")
     return placed.join(number, "first").select("id", (F.col("community") - 1).alias("community"))
 
 
-def _moved_at_once(nodes: DataFrame, adj: DataFrame, m2: int, rounds: int) -> DataFrame:
-    """(id, first): local moves of all nodes of a half at a time."""
-    near = materialize(adj.join(nodes.select(F.col("id").alias("a")), "a", "left_semi"))
-    degree = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("k"))
-    state = materialize(degree.select("id", "k", F.col("id").alias("own")))
-    for r in range(rounds):
-        strength = state.groupBy(F.col("own").alias("c")).agg(F.sum("k").alias("all"))
-        links = near.join(state.select(F.col("id").alias("b"), F.col("own").alias("c")), "b").groupBy(F.col("a").alias("id"), "c").agg(F.count("*").alias("w"))
-        links = links.unionByName(state.select("id", F.col("own").alias("c"), F.lit(0).cast("long").alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
-        mine = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        others = F.col("all") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
-        gain = F.round((F.col("w") - others * F.col("k") / m2) / m2, 12)
-        choice = links.join(state.filter(mine), "id").join(strength, "c").withColumn("gain", gain).filter("gain > 0")
-        best = choice.groupBy("id").agg(F.min_by("c", F.struct(-F.col("gain"), "c")).alias("to"))
-        moved = materialize(state.join(best, "id", "left").select("id", "k", F.coalesce("to", "own").alias("own"), (F.coalesce("to", "own") != F.col("own")).alias("went")))
-        state = moved.select("id", "k", "own")
-        if r % 2 and not moved.filter("went").take(1):
-            break
-    first = state.groupBy("own").agg(F.min("id").alias("first"))
-    return state.join(first, "own").select("id", "first")
-
-
 def community_sizes(placed: DataFrame) -> DataFrame:
     return placed.groupBy("community").agg(F.count("*").alias("size"))
 

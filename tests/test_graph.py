@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inquiro.operators import graph
+from inquiro.operators import communities, graph
 
 
 def build(spark, pairs, ids):
@@ -68,15 +68,56 @@ def test_betweenness_in_blocks(spark):
         assert dict(graph.betweenness(nodes, adj, rows=rows, sources=sources).collect()) == pytest.approx(want)
 
 
+def quality(pairs, placed):
+    """Modularity by its definition."""
+    m, degree = len(pairs), {}
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    inside = sum(placed[a] == placed[b] for a, b in pairs)
+    weight = {}
+    for v, k in degree.items():
+        weight[placed[v]] = weight.get(placed[v], 0) + k
+    return inside / m - sum((w / (2 * m)) ** 2 for w in weight.values())
+
+
 def test_communities_of_a_large_component(spark):
     pairs = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(6) for j in range(i)] + [("a0", "b0"), ("b1", "c1")]
     nodes, _, adj = build(spark, pairs, sorted({x for p in pairs for x in p} | {"z"}))
-    for edges in (2_000_000, 3):
-        got = dict(graph.communities(nodes, adj, sweep_edges=edges).collect())
+    for find in (graph.communities, graph.swept_communities):
+        got = dict(find(nodes, adj).collect())
         assert {c: {got[f"{c}{i}"] for i in range(6)} for c in "abc"} == {"a": {0}, "b": {1}, "c": {2}} and got["z"] == 3
     assert {r.community: r["size"] for r in graph.community_sizes(graph.communities(nodes, adj)).collect()} == {0: 6, 1: 6, 2: 6, 3: 1}
 
 
+def test_communities_of_planted_graphs(spark):
+    """Not below the sequential sweep, and groups that are plain are found."""
+    rng = random.Random(12)
+    for inside, across in ((0.6, 0.02), (0.4, 0.07)):
+        names = [f"n{k:03d}" for k in range(90)]
+        pairs = [(a, b) for i, a in enumerate(names) for j, b in enumerate(names[:i]) if rng.random() < (inside if i // 15 == j // 15 else across)]
+        nodes, _, adj = build(spark, pairs, names)
+        got, swept = dict(graph.communities(nodes, adj).collect()), dict(graph.swept_communities(nodes, adj).collect())
+        assert quality(pairs, got) >= quality(pairs, swept) - 1e-9
+        assert inside < 0.5 or len({(got[x], k // 15) for k, x in enumerate(names)}) == 6
+
+
+def test_colours_of_neighbours_differ(spark):
+    rng = random.Random(13)
+    pairs = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(140)) if a != b}
+    rows = sorted(pairs | {(b, a) for a, b in pairs})
+    near = spark.createDataFrame(rows, "a long, b long")
+    colour = {r.id: r.colour for r in communities.coloured(spark.range(70), near, colours=25).collect()}
+    assert len(colour) == 70 and all(colour[a] != colour[b] for a, b in rows)
+    few = {r.id: r.colour for r in communities.coloured(spark.range(70), near, colours=2).collect()}
+    assert len(few) == 70 and set(few.values()) <= {0, 1}
+
+
+def test_communities_without_edges(spark):
+    nodes, _, adj = build(spark, [], ["b", "a"])
+    assert dict(graph.communities(nodes, adj).collect()) == {"a": 0, "b": 1}
+    assert graph.communities(nodes.limit(0), adj).count() == 0
+
+
 def test_subgraph(spark):
     rows = [("e1", "a", "b", "CALLED"), ("e2", "b", "c", "OWNS"), ("e3", "c", "d", "CALLED"), ("e4", "b", "d", "CALLED"), ("e5", "c", "c", "CALLED")]
     edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, type string")
