@@ -11,8 +11,9 @@ texts, and turns each node into a Python closure that yields (text, learn)
 pieces.
 
 Texts are escaped so that control strings inside them cannot be read as
-turn marks: ESCAPE before itself, < and >. Reading takes the formatted
-text and the spans under the loss mask back apart.
+turn marks: ESCAPE before itself, < and >, in a role before line breaks too.
+Reading takes the formatted text and the spans under the loss mask back apart;
+a conversation whose turns read are not those written is an error.
 
 A conversation is one ordered stream through a task: rows are hashed by
 conv_id and sorted inside the partition, and formatting, reading back and
@@ -38,7 +39,7 @@ from inquiro.llm.common import arrow_type
 
 ESCAPE = "\\"
 CLOSE = "</turn>\n"
-TEMPLATE = """{% for m in messages %}<turn {{ m.role | escape }}>
+TEMPLATE = """{% for m in messages %}<turn {{ m.role | escape_line }}>
 {% if m.role == "assistant" %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}</turn>
 {% endfor %}"""
 FIELDS = ("role", "text")
@@ -51,11 +52,16 @@ def escape(text: str) -> str:
     return re.sub(r"[\\<>]", lambda m: ESCAPE + m[0], text)
 
 
+def escape_line(text: str) -> str:
+    """For what has to stay in one line, such as roles."""
+    return re.sub(r"[\\<>\n]", lambda m: ESCAPE + m[0], text)
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
+FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "escape_line": escape_line, "trim": str.strip, "upper": str.upper, "lower": str.lower}
 
 
 class TemplateError(ValueError):
@@ -364,18 +370,25 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
         row = next(rows, None)
         out = []
         while row is not None:
-            conv = row[0]
+            conv, written = row[0], [0, hashlib.sha256()]
 
             def turns():
                 nonlocal row
                 while row is not None and row[0] == conv:
-                    yield row[1]
+                    said = row[1]
                     row = next(rows, None)
+                    written[0] += 1
+                    written[1].update(f"{said['role']}\n{said['text']}\n".encode())
+                    yield said
 
             reader = Reader()
             for piece, learn in render(turns()):
                 reader.feed(piece, learn)
             reader.drain()
+            for _ in turns():  # a template may stop early
+                pass
+            if (reader.turns, reader.turns_hash.digest()) != (written[0], written[1].digest()):
+                raise TemplateError(f"conversation {conv}: {written[0]} turns written, {reader.turns} read back, or other ones")
             out.append((conv, reader.turns, reader.turns_hash.hexdigest(), reader.loss_chars, reader.loss_hash.hexdigest(), reader.chars))
             if len(out) == 5000 or row is None:
                 types = [schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
