@@ -90,3 +90,63 @@ def test_batch_resolution(spark):
     later, all_ = resolve.resolve_mentions(said(spark, [("e1", "PERSON", "Rahul Sharma"), ("e2", "PERSON", "Rahul Sharna"), ("e2", "PHONE", "+912"), ("e3", "PERSON", "Zoe")]), known)
     assert [(r.seq, r.canonical_id, r.resolution_method[0]) for r in later.orderBy("seq").collect()] == [(0, "person_001", "exact_match"), (1, "person_001", "name_similarity"), (2, "phone_002", "phone_match"), (3, "person_003", "new_entity")]
     assert all_.count() == entities.count() + 1
+
+
+def one_by_one(rows, threshold=0.65):
+    """The rule, mention after mention: {seq: (entity, methods)}; and for
+    each entity its identifiers."""
+    from difflib import SequenceMatcher
+
+    family = {"PHONE": "phones", "ACCOUNT": "accounts", "VEHICLE": "vehicles", "ORGANIZATION": "organizations"}
+    strong = {"PHONE": "phone_match", "ACCOUNT": "account_match", "VEHICLE": "vehicle_match"}
+    named, of_document, out = {}, {}, {}
+    for d, t, v in rows:
+        if t in family:
+            of_document.setdefault(d, []).append((family[t], v.lower() if t == "ORGANIZATION" else v))
+    counts, entities = {}, []  # [id, type, name, identifiers]
+    for seq, (d, t, v) in enumerate(rows):
+        name, mine = (v.lower() if t in ("PERSON", "ORGANIZATION", "LOCATION") else v), of_document.get(d, [])
+        entity, methods = named.get((t, name)), [strong.get(t, "exact_match")]
+        if entity is None and t in ("PERSON", "ORGANIZATION", "LOCATION"):
+            best = 0.0
+            for e in entities:
+                alike = SequenceMatcher(None, name, e[2]).ratio()
+                both = set(mine) & set(e[3])
+                if e[1] == t and both and alike >= threshold and alike > best:
+                    best, entity = alike, e
+                    methods = ["name_similarity"] + [m for f, m in resolve.EVIDENCE.items() if f in {x for x, _ in both}]
+        if entity is None:
+            counts[t] = counts.get(t, 0) + 1
+            entity, methods = [f"{resolve.PREFIX[t]}{counts[t]:03d}", t, name, []], ["new_entity"]
+            entities.append(entity)
+            named[t, name] = entity
+        entity[3] += [x for x in dict.fromkeys(mine) if x not in entity[3]]
+        out[seq] = (entity[0], methods)
+    return out, {e[0]: e[3] for e in entities}
+
+
+def test_resolution_equals_mention_by_mention(spark):
+    """Chains, names that come back without evidence, identifiers gained late."""
+    import random
+
+    for seed in (3, 4):
+        rng = random.Random(seed)
+        rows = []
+        for d in range(45):
+            people = [("PERSON", "Ram" + "".join(rng.choices("aesh", k=rng.randrange(0, 4)))) for _ in range(rng.randrange(3))]
+            marks = [("PHONE", f"+91{rng.randrange(7)}") for _ in range(rng.randrange(2))] + [("ORGANIZATION", rng.choice(["Acme Ltd", "ACME Ltd", "Acme Limited"]))] * rng.randrange(2)
+            own = people + marks
+            rng.shuffle(own)
+            rows += [(f"d{d:02d}", *x) for x in own]
+        resolved, entities = resolve.resolve_mentions(said(spark, rows))
+        want, held = one_by_one(rows)
+        assert {r.seq: (r.canonical_id, r.resolution_method) for r in resolved.collect()} == want
+        assert {r.id: [tuple(a) for a in r.attributes or []] for r in entities.collect()} == held
+        assert sum(m[0] == "name_similarity" for _, m in want.values()) > 5
+
+
+def test_evidence_is_the_mentions_own(spark):
+    """A name that joined by one document's phone is new in one without it."""
+    rows = [("d1", "PERSON", "Rahul Sharma"), ("d1", "PHONE", "+911"), ("d2", "PERSON", "Rahul Sharmaa"), ("d2", "PHONE", "+911"), ("d3", "PERSON", "Rahul Sharmaa"), ("d4", "PERSON", "Rahul Sharmaa"), ("d4", "PHONE", "+911")]
+    got = {r.seq: (r.canonical_id, r.resolution_method[0]) for r in resolve.resolve_mentions(said(spark, rows))[0].collect()}
+    assert got[2] == ("person_001", "name_similarity") and got[4] == ("person_002", "new_entity") and got[5] == ("person_002", "exact_match")
