@@ -44,3 +44,44 @@ def test_broken_chains(spark):
 def test_digest(spark):
     got = spark.createDataFrame([(t,) for t in TEXTS], "b string").select(audit.digest({"b": F.col("b"), "a": F.lit("x")}).alias("d"), "b").collect()
     assert all(r.d == hashlib.sha256(json.dumps({"a": "x", "b": r.b}, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for r in got)
+
+
+EVENTS = "log string, seq long, id string, created_at string, actor string, action string, target string, input_hash string, output_hash string"
+
+
+def events(rows):
+    return [(log, seq, f"{log}{seq}", f"2026-01-{seq % 28 + 1:02d}", None if seq % 5 == 0 else f"ä{seq}", TEXTS[seq % len(TEXTS)], "t", "", f"{seq}") for log, seq in rows]
+
+
+def test_appended_chains_verify(spark):
+    rows = events([(log, k) for log in "ab" for k in range(30)] + [("c", 4)])
+    made = audit.append_events(spark.createDataFrame(rows, EVENTS).repartition(5))
+    got = {r.log: r for r in audit.verify_logs(made, 7).collect()}
+    assert {k: (r.verified, r["count"], r.broken_at) for k, r in got.items()} == {"a": (True, 30, None), "b": (True, 30, None), "c": (True, 1, None)}
+    assert tuple(audit.verify_chain(made.filter("log = 'a'").drop("log"), 7).first())[:2] == (True, 30)
+    # in two parts, the second from the heads of the first
+    one = audit.append_events(spark.createDataFrame([r for r in rows if r[1] < 11], EVENTS))
+    two = audit.append_events(spark.createDataFrame([r for r in rows if r[1] >= 11], EVENTS), audit.heads_of(one))
+    assert sorted(map(tuple, one.unionByName(two).collect())) == sorted(map(tuple, made.collect()))
+    changed = made.withColumn("actor", F.when((F.col("log") == "b") & (F.col("seq") == 12), "someone").otherwise(F.col("actor")))
+    assert {r.log: r.broken_at for r in audit.verify_logs(changed, 7).collect()} == {"a": None, "b": "b12", "c": None}
+    assert audit.append_events(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Batches in several runs give one chain; a run without news adds nothing."""
+    rows = events([(log, k) for log in "ab" for k in range(24)])
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run():
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+        audit.append_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    for low in (0, 8, 16):
+        spark.createDataFrame([r for r in rows if low <= r[1] < low + 8], EVENTS).coalesce(1).write.mode("append").parquet(source)
+        run()
+    run()
+    made = spark.read.parquet(out)
+    assert made.count() == 48 and {r.log: (r.verified, r["count"]) for r in audit.verify_logs(made, 5).collect()} == {"a": (True, 24), "b": (True, 24)}
+    want = audit.append_events(spark.createDataFrame(rows, EVENTS))
+    assert {(r.id, r.hash) for r in made.collect()} == {(r.id, r.hash) for r in want.collect()}
