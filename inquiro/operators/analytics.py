@@ -10,18 +10,19 @@ from inquiro.operators import anomaly, features, graph, reads
 from inquiro.storage import materialize
 
 
-def run_analytics(nodes: DataFrame, edges: DataFrame, persons: DataFrame, legs: DataFrame, *, run_id: str = "run", created_at: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_analytics(nodes: DataFrame, edges: DataFrame, persons: DataFrame, legs: DataFrame, *, run_id: str = "run", created_at: str = "", betweenness_error: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores, results, run) of nodes(id), edges(src, dst, type),
     persons(person) and activity legs.
 
     scores has id, degree, pagerank, betweenness, community of each person
     (zero if the graph lacks it); results the anomaly rows as they are kept;
-    run one row with counts, methods and the window in days.
+    run one row with counts, methods and the window in days. Exact betweenness
+    takes nodes x edges steps; betweenness_error takes sampled paths instead.
     """
     adj = materialize(graph.adjacency(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")))
     nodes = materialize(nodes.select("id").distinct())
     people = materialize(persons.select("person").distinct())
-    measured = graph.analyze(nodes, adj).join(graph.communities(nodes, adj), "id")
+    measured = graph.analyze(nodes, adj, betweenness_error).join(graph.communities(nodes, adj), "id")
     scores = people.select(F.col("person").alias("id")).join(measured, "id", "left")
     scores = scores.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "pagerank", "betweenness")], "community", F.lit(run_id).alias("run_id"), F.lit(created_at).alias("updated_at"))
     eight = materialize(features.person_features(people, legs))
@@ -30,7 +31,7 @@ def run_analytics(nodes: DataFrame, edges: DataFrame, persons: DataFrame, legs:
     results = found.select(F.concat(F.lit(f"{run_id}:"), "person").alias("id"), F.col("person").alias("entity_id"), F.col("anomaly").alias("score"), "severity", reason.alias("reason"), "model_version", F.lit(created_at).alias("created_at")).join(eight.withColumnRenamed("person", "entity_id"), "entity_id")
     days = legs.join(people, "person", "left_semi").agg(F.greatest(F.lit(1), F.count_distinct("day")).alias("window_days"))
     counts = nodes.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count"))).crossJoin(days)  # one row each
-    methods = F.create_map(*[F.lit(x) for kv in {"centrality": "degree/pagerank/brandes-undirected", "communities": "louvain", "anomaly": anomaly.MODEL, "scoring": "v1"}.items() for x in kv])
+    methods = F.create_map(*[F.lit(x) for kv in {"centrality": "degree/pagerank/brandes-undirected" if betweenness_error is None else f"degree/pagerank/sampled-paths({betweenness_error})", "communities": "louvain", "anomaly": anomaly.MODEL, "scoring": "v1"}.items() for x in kv])
     run = counts.select(F.lit(run_id).alias("run_id"), F.lit(created_at).alias("created_at"), "node_count", "edge_count", "window_days", methods.alias("methods"))
     return scores, results, run
 

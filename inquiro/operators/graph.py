@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inquiro.operators import stars
 from inquiro.operators.communities import communities
 from inquiro.operators.numbering import numbered
+from inquiro.operators.sampled import sampled_betweenness
 from inquiro.storage import materialize
 
 ROWS, SOURCES = 4_000_000, 32  # (lane, edge) pairs that a round of betweenness walks at once; sources of a lane
@@ -237,11 +238,12 @@ def community_sizes(placed: DataFrame) -> DataFrame:
     return placed.groupBy("community").agg(F.count("*").alias("size"))
 
 
-def analyze(nodes: DataFrame, adj: DataFrame) -> DataFrame:
+def analyze(nodes: DataFrame, adj: DataFrame, betweenness_error: float | None = None) -> DataFrame:
     """(id, degree, pagerank, betweenness): PageRank from 0 to 1 over all
-    nodes, betweenness as it is."""
+    nodes, betweenness as it is; exact, or within an error if one is given."""
     rank = minmax(pagerank(nodes, adj), "pagerank")
-    return degrees(nodes, adj).join(rank, "id").join(betweenness(nodes, adj), "id")
+    between = betweenness(nodes, adj) if betweenness_error is None else sampled_betweenness(nodes, adj, error=betweenness_error)
+    return degrees(nodes, adj).join(rank, "id").join(between, "id")
 
 
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -133,6 +133,12 @@ def betweenness(spark, d):
     return graph.betweenness(*_graph(spark, d)).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
+@query()
+def betweenness_sampled(spark, d):
+    """Betweenness within 0.05 with probability 0.9, from sampled paths."""
+    return graph.sampled_betweenness(*_graph(spark, d), error=0.05)
+
+
 @query()
 def louvain(spark, d):
     return graph.communities(*_graph(spark, d))
