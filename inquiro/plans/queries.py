@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inquiro.functions import normalize as N
-from inquiro.operators import analytics, anomaly, audit, extract, features, graph, reads, resolve
+from inquiro.operators import analytics, anomaly, audit, extract, features, graph, index, reads, resolve
 from inquiro.plans import views as V
-from inquiro.storage import materialize
+from inquiro.storage import materialize, shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -290,6 +290,14 @@ def entity_search(spark, d):
     return reads.search(_items(spark, d), " High ")
 
 
+@query(f"| , {_ITEMS} SELECT id, type, name, CASE WHEN lower(name) LIKE '%high%' THEN 'name' WHEN lower(id) LIKE '%high%' THEN 'id' ELSE 'alias' END AS match FROM items WHERE lower(name) LIKE '%high%' OR lower(id) LIKE '%high%' OR lower(aliases) LIKE '%high%'")
+def entity_search_indexed(spark, d):
+    """The same from postings of letter groups, written beforehand."""
+    items, path = _items(spark, d), shared_dir(spark)
+    index.write_index(items, path, F.col("name"), F.col("id"), F.array_join("aliases", "\n"))
+    return reads.search(items.join(index.candidates(spark, path, "high"), "id", "left_semi"), " High ")
+
+
 @query(f"| , {_ITEMS} SELECT id, type, name FROM items WHERE contains(lower(concat_ws(' ', name, id, replace(aliases, '; ', ' '))), 'urgent') AND type = 'PERSON'")
 def directory_filtered(spark, d):
     return reads.directory(_items(spark, d), q="urgent", kind="PERSON").select("id", "type", "name")
