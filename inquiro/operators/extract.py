@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from inquiro.functions import normalize as N
 from inquiro.operators import names as names_
 from inquiro.operators import tagger
+from inquiro.operators.numbering import numbered
 
 # Method, type, pattern, confidence.
 PATTERNS = [
@@ -216,12 +217,8 @@ def learn_names(docs: DataFrame, names: DataFrame, **settings: int) -> tagger.We
     return tagger.train(known, **settings)
 
 
-# What is read of each dataset, text fields or identifiers.
-TEXT_FIELD = {"FIR": "text", "VEHICLE": "owner_name", "LOCATION": "name"}
-
-
 def renumbered(found: DataFrame) -> DataFrame:
     """Entities of an upload's records numbered through the upload, in the
     order of record, then of place in it. found has upload_id, record, place."""
-    order = Window.partitionBy("upload_id").orderBy("record", "place")
-    return found.withColumn("id", F.format_string("temp_%03d", F.row_number().over(order)))
+    number = numbered(found, "record", "place", within="upload_id", name="_n")
+    return number.withColumn("id", F.format_string("temp_%03d", F.col("_n"))).drop("_n")
