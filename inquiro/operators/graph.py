@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inquiro.operators import stars
@@ -100,6 +102,29 @@ def neighborhood(edges: DataFrame, start: str, depth: int, types: list[str] | No
     return seen
 
 
+def neighborhoods(edges: DataFrame, starts: DataFrame, depth: int, types: list[str] | None = None, limit_nodes: int | None = None) -> DataFrame:
+    """(start, id, dist) within `depth` undirected hops of every start of
+    starts(start), all in one search: a hop is one join for all starts. In an
+    undirected graph a hop's neighbours lie on it, before or behind it, so only
+    the last two levels are taken off. With limit_nodes, the nearest nodes of
+    each start, then first by id (the feature's cap)."""
+    e = edges.filter(F.col("type").isin(types)) if types else edges
+    both = materialize(e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
+    front = materialize(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("dist")).distinct())
+    levels = [front]
+    for hop in range(1, depth + 1):
+        new = both.join(front.select("start", F.col("id").alias("a")), "a").select("start", F.col("b").alias("id")).distinct()
+        for before in levels[-2:]:
+            new = new.join(before.select("start", "id"), ["start", "id"], "left_anti")
+        front = materialize(new.withColumn("dist", F.lit(hop)))
+        levels.append(front)
+    out = reduce(DataFrame.unionByName, levels)
+    if limit_nodes is None:
+        return out
+    nearest = Window.partitionBy("start").orderBy("dist", "id")
+    return out.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= limit_nodes).drop("_k")
+
+
 def subgraph(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, types: list[str] | None = None, labels: list[str] | None = None, limit_nodes: int = 0, limit_edges: int = 0) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes with dist, edges, truncated): what lies within `depth` hops.
 

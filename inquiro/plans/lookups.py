@@ -145,3 +145,14 @@ def directory_by_pagerank(spark, d):
     """The first page of the directory by PageRank (the feature)."""
     rows = _rated(spark, d).select("id", "pagerank").orderBy(*reads.directory_order("pagerank")).limit(20)
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*reads.directory_order("pagerank"))))  # twenty rows
+
+
+@query(
+    """| , adj AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), s AS (SELECT person AS start FROM persons),
+h1 AS (SELECT DISTINCT start, b AS id FROM s JOIN adj ON a = start), h2 AS (SELECT DISTINCT h1.start, b AS id FROM h1 JOIN adj ON a = h1.id),
+far AS (SELECT start, id FROM h2 WHERE id <> start EXCEPT SELECT start, id FROM h1)
+SELECT start, 0 AS dist, 1::BIGINT AS n FROM s UNION ALL SELECT start, 1, count(*) FROM h1 GROUP BY 1 UNION ALL SELECT start, 2, count(*) FROM far GROUP BY 1"""
+)
+def neighborhood_sizes(spark, d):
+    """How many nodes lie at each distance of every person, in one search."""
+    return graph.neighborhoods(V.edges(spark, d), V.persons(spark, d).select(F.col("person").alias("start")), 2).groupBy("start", "dist").agg(F.count("*").alias("n"))

@@ -141,6 +141,32 @@ def test_communities_without_edges(spark):
     assert graph.communities(nodes.limit(0), adj).count() == 0
 
 
+def test_many_starts_equal_single_ones(spark):
+    rng = random.Random(21)
+    rows = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.choice(["CALLED", "OWNS"])) for _ in range(70)] + [("n1", "n1", "OWNS")]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string")
+    starts = [f"n{k}" for k in range(0, 60, 7)] + ["nobody"]
+    got = {}
+    for r in graph.neighborhoods(edges, spark.createDataFrame([(x,) for x in starts + ["n0"]], "start string"), 3, ["CALLED"]).collect():
+        assert r.id not in got.setdefault(r.start, {})
+        got[r.start][r.id] = r.dist
+    near = {}
+    for a, b, t in rows:
+        if t == "CALLED":
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for x in starts:
+        dist = {x: 0}
+        for hop in range(1, 4):
+            for v in [v for v, k in dist.items() if k == hop - 1]:
+                for u in near.get(v, ()):
+                    dist.setdefault(u, hop)
+        assert got[x] == dist, x
+    assert got["n7"] == {r.id: r.dist for r in graph.neighborhood(edges, "n7", 3, ["CALLED"]).collect()}
+    few = graph.neighborhoods(edges, spark.createDataFrame([(x,) for x in starts], "start string"), 2, None, 3)
+    assert all(r["count"] <= 3 for r in few.groupBy("start").count().collect()) and few.filter("dist = 0").count() == len(starts)
+
+
 def test_subgraph(spark):
     rows = [("e1", "a", "b", "CALLED"), ("e2", "b", "c", "OWNS"), ("e3", "c", "d", "CALLED"), ("e4", "b", "d", "CALLED"), ("e5", "c", "c", "CALLED")]
     edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, type string")
