@@ -155,4 +155,4 @@ SELECT start, 0 AS dist, 1::BIGINT AS n FROM s UNION ALL SELECT start, 1, count(
 )
 def neighborhood_sizes(spark, d):
     """How many nodes lie at each distance of every person, in one search."""
-    return graph.neighborhoods(V.edges(spark, d), V.persons(spark, d).select(F.col("person").alias("start")), 2).groupBy("start", "dist").agg(F.count("*").alias("n"))
+    return graph.neighborhood_sizes(V.edges(spark, d), V.persons(spark, d).select(F.col("person").alias("start")), 2)
