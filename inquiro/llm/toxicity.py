@@ -52,6 +52,7 @@ FACTORS, BATCH, RATE, FACTOR_RATE, START = 8, 64, 0.1, 0.05, 0.05
 FITS = ((20_000, 3, 3e-3, 2e-2), (40_000, 3, 9e-4, 1e-3))
 EVIDENCE, DROP = 15.0, 1e-2
 THRESHOLD = 0.7
+_ROWS = 256  # rows renamed at once
 _EDGES = b".,;:!?\"'()[]{}<>%&$#*|-_/\\`~"
 
 
@@ -127,11 +128,25 @@ class Rows:
 
     def renamed(self, to: np.ndarray) -> Rows:
         """With feature i called to[i]; those below zero go."""
-        new = to.astype(np.int32)[self.flat]
-        kept = new >= 0
-        before = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])
-        ends = np.cumsum(self.sizes)
-        return Rows(new[kept], (before[ends] - before[ends - self.sizes]).astype(np.int64))
+        to, flat, sizes = to.astype(np.int32), np.empty(len(self.flat), dtype=np.int32), np.zeros(len(self.sizes), dtype=np.int64)
+        at = done = 0
+        for low in range(0, len(sizes), _ROWS):
+            own = self.sizes[low : low + _ROWS]
+            new = to[self.flat[at : at + int(own.sum())]]
+            kept = new >= 0
+            sizes[low : low + _ROWS] = np.bincount(np.repeat(np.arange(len(own)), own)[kept], minlength=len(own))
+            at, new = at + len(new), new[kept]
+            flat[done : done + len(new)] = new
+            done += len(new)
+        return Rows(flat[:done], sizes)
+
+    def counts(self, n: int) -> np.ndarray:
+        """In how many texts each of n features is; part by part, as numpy
+        counts on a copy of 64 bits each."""
+        out, step = np.zeros(n, dtype=np.int64), 1 << 20
+        for low in range(0, len(self.flat), step):
+            out += np.bincount(self.flat[low : low + step], minlength=n)
+        return out
 
 
 @dataclass
@@ -157,8 +172,8 @@ class FactorizationMachine:
 
 def evidence(rows: Rows, toxic: np.ndarray, n_features: int) -> np.ndarray:
     """Log likelihood ratio of each feature and the labels."""
-    d = np.bincount(rows.flat, minlength=n_features).astype(float)
-    t = np.bincount(rows.take(np.flatnonzero(toxic)).flat, minlength=n_features).astype(float)
+    d = rows.counts(n_features).astype(float)
+    t = rows.take(np.flatnonzero(toxic)).counts(n_features).astype(float)
     n, pos = float(len(toxic)), float(toxic.sum())
 
     def part(seen, expected):
@@ -243,9 +258,10 @@ def train(docs: DataFrame, labels: DataFrame, *, divisor: int = 3, held_out: int
     lists = held.column("terms").combine_chunks()
     toxic = held.column("toxic").to_numpy()
     rows = Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
-    common = np.bincount(rows.flat, minlength=BUCKETS) >= MIN_DOCS
+    common = rows.counts(BUCKETS) >= MIN_DOCS
     rows = rows.renamed(np.where(common, np.cumsum(common) - 1, -1))
     del held, lists  # all rare terms are still in them
+    pa.default_memory_pool().release_unused()
     return fit_machine(rows, np.flatnonzero(common), toxic)
 
 
