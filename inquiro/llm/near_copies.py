@@ -1,17 +1,24 @@
-"""Near copies by shingle-set similarity: MinHash bands, exact Jaccard check.
+"""Near copies by SimHash: wide fingerprints, bands of their bits, exact check.
 
 A text is the set of its shingles (48 bits of XXH64 each); texts of equal sets
-are one node. Of BANDS x ROWS MinHashes each ROWS make a band's key, and nodes
-that share a key are candidates: a pair of similarity s shares none with
-probability (1 - s^5)^32, 3e-6 at 0.8 and less above. Candidates' components
-are dealt into tiles of at most about `tile` nodes; each pair of nodes of a
-component is compared exactly, and only pairs that reach the similarity link,
-so a chance candidate links nothing. A task returns a spanning forest of its
-links. Components come from alternating stars.
-
-Cost: a candidate component of m nodes takes m^2 comparisons in (m / tile)^2
-rows. The sets of candidates are made from their texts anew, not stored for
-all documents.
+are one node. A node's fingerprint has BITS bits, each the majority over its
+shingles of one bit of their hashes. Two sets of similarity 0.8 differ in a share
+of 0.15 of the bits (arc cosine of 8/9, over pi), unlike ones in half. Nodes that
+agree in all `k` bits of a band meet, and are candidates if their first CHECK bits
+differ in at most NEAR. k grows with the logarithm of the number of nodes, so
+that a band's bucket holds about BUCKET chance nodes at every size, and there
+are so many bands that a pair of 0.8 meets in none with probability 1e-4 or so
+(bands share bits, and small sets vary more: tests hold recall to 0.99). A
+bucket above `tile` nodes is split, and all pairs of its parts are compared.
+
+Candidates' components are dealt into tiles of at most about `tile` nodes; each
+pair of nodes of a component is compared exactly, and only pairs that reach the
+similarity link, so a chance candidate links nothing. A task returns a spanning
+forest of its links. Components come from alternating stars.
+
+Cost: nodes x bands x BUCKET comparisons of 128 bits; a candidate component of m
+nodes takes m^2 exact ones in (m / tile)^2 rows. The sets of candidates are made
+from their texts anew, not stored for all documents.
 
 Defined cases: null or wordless texts are one node without candidates; fewer
 words than a shingle make one shingle; a component whose ids are all null has
@@ -20,6 +27,8 @@ a null id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +38,9 @@ from pyspark.sql import functions as F
 from inquiro.llm.common import as_bytes, materialize, text_slices
 from inquiro.operators.stars import components
 
-SHINGLE, SIMILARITY, BANDS, ROWS, SEED, TILE = 5, 0.8, 32, 5, 42, 512
+SHINGLE, SIMILARITY, SEED, TILE = 5, 0.8, 42, 512
+BITS, CHECK, NEAR, BUCKET, MISS, SHARE = 512, 128, 38, 256, 1e-4, 0.16  # SHARE of bits that a pair at the radius may differ in
+_BLOCK = 1 << 13  # shingles whose bits are counted at once
 _COLUMNS = 8192  # shingles compared at once
 
 
@@ -46,17 +57,84 @@ def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], pa
     return sets, pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], dtype="<u8").view(np.int64))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys of each set; no set may be empty."""
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """BITS bits of each set, packed; no set may be empty. The least shingle
+    decides ties."""
     rng = np.random.default_rng(SEED)
-    flips, factors, mixers = (rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(3))
+    flips = rng.integers(1, 1 << 63, BITS // 64, dtype=np.uint64)
     flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
-    for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat((flat ^ flips[k]) * factors[k], starts)
-        keys[:, k // ROWS] += (least ^ (least >> np.uint64(31))) * mixers[k]
-    return keys
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    votes, first = np.zeros((len(sets), BITS), dtype=np.int64), np.zeros((len(sets), BITS), dtype=np.uint8)
+    for low in range(0, len(flat), _BLOCK):
+        high = min(low + _BLOCK, len(flat))
+        x = flat[low:high, None] ^ flips
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        runs = np.flatnonzero((ends > low) & (starts < high))
+        votes[runs] += np.add.reduceat(bits, np.maximum(starts[runs] - low, 0), axis=0, dtype=np.int32)
+        begun = runs[starts[runs] >= low]
+        first[begun] = bits[starts[begun] - low]
+    return np.packbits(2 * votes + first > sizes[:, None], axis=1, bitorder="little")
+
+
+def bands_of(nodes: int) -> np.ndarray:
+    """For so many nodes, the places of the bits of each band."""
+    k = max(8, math.ceil(math.log2(max(1, nodes) / BUCKET)))
+    bands = math.ceil(math.log(MISS) / math.log(1 - (1 - SHARE) ** k))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(BITS, k, replace=False) for _ in range(bands)])
+
+
+def keyed_bands(nodes: DataFrame, places: np.ndarray) -> DataFrame:
+    """(key, fp, s0, s1) of nodes(fp, bits) for each band; s0, s1: CHECK bits."""
+    bands, k = places.shape
+
+    def cut(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                packed = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(packed, axis=1, bitorder="little").astype(np.int64)
+                key = np.stack([bits[:, p] @ (1 << np.arange(k)) + (b << k) for b, p in enumerate(places)], axis=1)
+                check = np.ascontiguousarray(packed[:, : CHECK // 8]).view("<i8")
+                own = (part.column("fp").to_numpy(), check[:, 0], check[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[pa.array(np.repeat(x, bands)) for x in own]], names=["key", "fp", "s0", "s1"])
+
+    return nodes.select("fp", "bits").mapInArrow(cut, "key long, fp long, s0 long, s1 long")
+
+
+def _near(tiles: DataFrame) -> DataFrame:
+    """(a, b): a forest of the candidates among the nodes of each row of tiles."""
+
+    def compare(batches):
+        for batch in batches:
+            a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for row in batch.column("nodes"):
+                fps, s0, s1 = (row.values.field(c).to_numpy().view(np.uint64) for c in ("fp", "s0", "s1"))
+                apart = np.bitwise_count(s0[:, None] ^ s0) + np.bitwise_count(s1[:, None] ^ s1)
+                i, j = np.nonzero(np.triu(apart <= NEAR, 1))
+                if len(i):
+                    u, v = forest(fps, i, j)
+                    a.append(u)
+                    b.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+    return tiles.select("nodes").mapInArrow(compare, "a long, b long")
+
+
+def candidate_links(nodes: DataFrame, count: int, tile: int = TILE) -> DataFrame:
+    """(a, b): links whose components hold all candidate pairs of nodes(fp, bits)."""
+    keyed = keyed_bands(nodes, bands_of(count))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    dealt = keyed.join(materialize(sizes), "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)))
+    tiles = materialize(dealt.groupBy("key", "part").agg(F.first("n").alias("n"), F.collect_list(F.struct("fp", "s0", "s1")).alias("nodes")))
+    split = tiles.filter(F.col("n") > tile)
+    other = split.select("key", F.col("part").alias("_part"), F.col("nodes").alias("_nodes"))
+    deal = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = split.join(other, "key").filter("part < _part").repartition(deal, "key", "part", "_part").select(F.concat("nodes", "_nodes").alias("nodes"))
+    return _near(tiles).unionByName(_near(across)).distinct()
 
 
 def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +173,18 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, keys): fp names the shingle set, keys are its bands'."""
+    """(doc_id, fp, bits): fp names the shingle set, bits is its wide
+    fingerprint, null for no shingles."""
 
     def sign(batches):
         for batch in text_slices(batches, limit=2 << 20):
             sets, fp = shingle_sets(batch, shingle)
             some = [s for s in sets if len(s)]
-            keys = iter(band_keys(some).view(np.int64) if some else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+            bits = iter(wide_fingerprints(some) if some else [])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, pa.array([next(bits).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "fp", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, bits binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -143,10 +222,9 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     """Per row of docs(doc_id, text): doc_id, fp (names its shingle set) and
     component_id, the least doc_id reachable over pairs of the similarity."""
     signed = materialize(_signed(docs, shingle))
-    nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    keyed = materialize(signed.select("fp", F.explode("keys").alias("key")).distinct())
-    met = keyed.groupBy("key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
-    candidates = materialize(components(keyed.join(met, "key").filter("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))).withColumnRenamed("node", "fp"))
+    nodes = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")))
+    links = candidate_links(nodes.filter("bits is not null"), nodes.count(), tile)
+    candidates = materialize(components(links).withColumnRenamed("node", "fp"))
     parts = candidates.groupBy("root").agg(F.ceil(F.count("*") / tile).alias("parts"))
     dealt = materialize(candidates.join(parts, "root").select("fp", "root", F.pmod(F.xxhash64("fp"), "parts").alias("part")))
     wanted = dealt.join(nodes, "fp").select(F.col("least").alias("_least")).distinct()

@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
 
 def one_per_group(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, that stand for their group of
-    near_copies(): those with the least doc_id. Repeated rows of that id are
+    near_copies(), SimHash with the stage's own settings: those with the least doc_id. Repeated rows of that id are
     one document; rows of one id whose shingle sets differ stand for
     themselves in their groups.
 
