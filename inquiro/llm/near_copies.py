@@ -10,11 +10,15 @@ that a band's bucket holds about BUCKET chance nodes at every size, and there
 are so many bands that a pair of 0.8 meets in none with probability 1e-4 or so
 (bands share bits, and small sets vary more: tests hold recall to 0.99). A
 bucket above `tile` nodes is split, and all pairs of its parts are compared.
+Links that FIRST bands give are joined before the other bands are compared, so
+a group that meets in every band is linked about FIRST times, not once a band.
 
 Candidates' components are dealt into tiles of at most about `tile` nodes; each
 pair of nodes of a component is compared exactly, and only pairs that reach the
-similarity link, so a chance candidate links nothing. A task returns a spanning
-forest of its links. Components come from alternating stars.
+similarity link, so a chance candidate links nothing. A row returns a spanning
+forest of its links; a row of two parts only the links that join what the parts'
+own links leave apart, so a dense group gives one a pair of parts. Components
+come from alternating stars.
 
 Cost: nodes x bands x BUCKET comparisons of 128 bits; a candidate component of m
 nodes takes m^2 exact ones in (m / tile)^2 rows. The sets of candidates are made
@@ -40,6 +44,7 @@ from inquiro.operators.stars import components
 
 SHINGLE, SIMILARITY, SEED, TILE = 5, 0.8, 42, 512
 BITS, CHECK, NEAR, BUCKET, MISS, SHARE = 512, 128, 38, 256, 1e-4, 0.16  # SHARE of bits that a pair at the radius may differ in
+FIRST = 4  # bands whose links are joined before the others are compared
 _BLOCK = 1 << 13  # shingles whose bits are counted at once
 _COLUMNS = 8192  # shingles compared at once
 
@@ -88,7 +93,8 @@ def bands_of(nodes: int) -> np.ndarray:
 
 
 def keyed_bands(nodes: DataFrame, places: np.ndarray) -> DataFrame:
-    """(key, fp, s0, s1) of nodes(fp, bits) for each band; s0, s1: CHECK bits."""
+    """(key, fp, root, s0, s1) of nodes(fp, bits, root) for each band; s0, s1:
+    CHECK bits."""
     bands, k = places.shape
 
     def cut(batches):
@@ -99,48 +105,57 @@ def keyed_bands(nodes: DataFrame, places: np.ndarray) -> DataFrame:
                 bits = np.unpackbits(packed, axis=1, bitorder="little").astype(np.int64)
                 key = np.stack([bits[:, p] @ (1 << np.arange(k)) + (b << k) for b, p in enumerate(places)], axis=1)
                 check = np.ascontiguousarray(packed[:, : CHECK // 8]).view("<i8")
-                own = (part.column("fp").to_numpy(), check[:, 0], check[:, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[pa.array(np.repeat(x, bands)) for x in own]], names=["key", "fp", "s0", "s1"])
+                own = (part.column("fp").to_numpy(), part.column("root").to_numpy(), check[:, 0], check[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[pa.array(np.repeat(x, bands)) for x in own]], names=["key", "fp", "root", "s0", "s1"])
 
-    return nodes.select("fp", "bits").mapInArrow(cut, "key long, fp long, s0 long, s1 long")
+    return nodes.select("fp", "bits", "root").mapInArrow(cut, "key long, fp long, root long, s0 long, s1 long")
 
 
 def _near(tiles: DataFrame) -> DataFrame:
-    """(a, b): a forest of the candidates among the nodes of each row of tiles."""
+    """(a, b): links between roots that join all candidates among the nodes of
+    each row of tiles(nodes, own)."""
 
     def compare(batches):
         for batch in batches:
             a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for row in batch.column("nodes"):
-                fps, s0, s1 = (row.values.field(c).to_numpy().view(np.uint64) for c in ("fp", "s0", "s1"))
+            for row, own in zip(batch.column("nodes"), batch.column("own").to_pylist()):
+                root, s0, s1 = (row.values.field(c).to_numpy().view(np.uint64) for c in ("root", "s0", "s1"))
+                if (root == root[0]).all():
+                    continue
                 apart = np.bitwise_count(s0[:, None] ^ s0) + np.bitwise_count(s1[:, None] ^ s1)
-                i, j = np.nonzero(np.triu(apart <= NEAR, 1))
-                if len(i):
-                    u, v = forest(fps, i, j)
-                    a.append(u)
-                    b.append(v)
+                u, v = joins(root, own, *np.nonzero(np.triu(apart <= NEAR, 1)))
+                a.append(u)
+                b.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return tiles.select("nodes").mapInArrow(compare, "a long, b long")
+    return tiles.select("nodes", "own").mapInArrow(compare, "a long, b long")
 
 
-def candidate_links(nodes: DataFrame, count: int, tile: int = TILE) -> DataFrame:
-    """(a, b): links whose components hold all candidate pairs of nodes(fp, bits)."""
-    keyed = keyed_bands(nodes, bands_of(count))
+def _band_links(nodes: DataFrame, places: np.ndarray, tile: int) -> DataFrame:
+    """(a, b): links between roots that join the candidates of these bands."""
+    keyed = keyed_bands(nodes, places)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     dealt = keyed.join(materialize(sizes), "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)))
-    tiles = materialize(dealt.groupBy("key", "part").agg(F.first("n").alias("n"), F.collect_list(F.struct("fp", "s0", "s1")).alias("nodes")))
+    tiles = materialize(dealt.groupBy("key", "part").agg(F.first("n").alias("n"), F.collect_list(F.struct("root", "s0", "s1")).alias("nodes")))
     split = tiles.filter(F.col("n") > tile)
     other = split.select("key", F.col("part").alias("_part"), F.col("nodes").alias("_nodes"))
     deal = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = split.join(other, "key").filter("part < _part").repartition(deal, "key", "part", "_part").select(F.concat("nodes", "_nodes").alias("nodes"))
-    return _near(tiles).unionByName(_near(across)).distinct()
+    across = split.join(other, "key").filter("part < _part").repartition(deal, "key", "part", "_part").select(F.concat("nodes", "_nodes").alias("nodes"), F.size("nodes").alias("own"))
+    return _near(tiles.select("nodes", F.lit(0).alias("own"))).unionByName(_near(across)).distinct()
 
 
-def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of nodes that join all that the links i - j (places in
-    nodes) join."""
-    label = np.arange(len(nodes))
+def candidate_links(nodes: DataFrame, count: int, tile: int = TILE) -> DataFrame:
+    """(a, b): links whose components hold all candidate pairs of nodes(fp, bits)."""
+    bands = bands_of(count)
+    first = materialize(_band_links(nodes.withColumn("root", F.col("fp")), bands[:FIRST], tile))
+    rooted = nodes.join(components(first).withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = materialize(rooted.select("fp", "bits", F.coalesce("root", "fp").alias("root")))
+    return first.unionByName(_band_links(rooted, bands[FIRST:], tile))
+
+
+def _labels(nodes: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of so many places the least that the links i - j join it to."""
+    label = np.arange(nodes)
     while True:
         low = np.minimum(label[i], label[j])
         new = label.copy()
@@ -148,12 +163,28 @@ def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
         np.minimum.at(new, j, low)
         new = np.minimum(new, new[new])
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of nodes that join all that the links i - j (places in
+    nodes) join."""
+    label = _labels(len(nodes), i, j)
     linked = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[linked], nodes[label[linked]]
 
 
+def joins(names: np.ndarray, own: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like forest(), of names that may repeat. Where the first `own` places are
+    one part and the others another (own > 0), links within the parts are known:
+    returned are those that join across what they leave apart."""
+    nodes, at = np.unique(names, return_inverse=True)
+    across = (i < own) != (j < own) if own else np.ones(len(i), bool)
+    label = _labels(len(nodes), at[i[~across]], at[j[~across]])
+    return forest(nodes, label[at[i[across]]], label[at[j[across]]])
+
+
 def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Places i < j of all pairs of sets whose Jaccard similarity is enough."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -205,17 +236,17 @@ def _unpacked(shingles: bytes) -> np.ndarray:
 
 
 def _links(tiles: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): a forest of the links among the nodes of each row of tiles."""
+    """(a, b): links that join all similar nodes of each row of tiles(nodes, own)."""
 
     def compare(batches):
         for batch in batches:
-            for row in batch.column("nodes"):
+            for row, own in zip(batch.column("nodes"), batch.column("own").to_pylist()):
                 nodes = row.values
                 fps = nodes.field("fp").to_numpy().view(np.uint64)
-                a, b = forest(fps, *similar([_unpacked(s) for s in nodes.field("shingles").to_pylist()], similarity))
+                a, b = joins(fps, own, *similar([_unpacked(s) for s in nodes.field("shingles").to_pylist()], similarity))
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return tiles.select("nodes").mapInArrow(compare, "a long, b long")
+    return tiles.select("nodes", "own").mapInArrow(compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -232,8 +263,8 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     sets = _sets(texts, shingle).dropDuplicates(["fp"])
     tiles = materialize(sets.join(dealt, "fp").groupBy("root", "part").agg(F.collect_list(F.struct("fp", "shingles")).alias("nodes")))
     other = tiles.select("root", F.col("part").alias("_part"), F.col("nodes").alias("_nodes"))
-    across = tiles.join(other, "root").filter("part < _part").select(F.concat("nodes", "_nodes").alias("nodes"))
-    links = _links(tiles.select("nodes"), similarity).unionByName(_links(across, similarity))
+    across = tiles.join(other, "root").filter("part < _part").select(F.concat("nodes", "_nodes").alias("nodes"), F.size("nodes").alias("own"))
+    links = _links(tiles.select("nodes", F.lit(0).alias("own")), similarity).unionByName(_links(across, similarity))
     roots = components(links).select(F.col("node").alias("fp"), "root")
     rooted = materialize(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
