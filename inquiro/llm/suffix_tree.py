@@ -63,7 +63,6 @@ BITS = 13  # of a symbol's id
 DEEP, MIN_DEEP, BLOOM, WORD_BLOOM, HOT, SALTS, PART = 4, 2, 28, 26, 20_000, 16, 500_000
 RARE = 20  # bits of a rare word's hash in its code
 _ONCE = (1 << RARE) - 1  # in place of that hash: the word occurs once or never
-OTHER = -(1 << 30)  # the symbol that stands for all unlisted followers
 END = b"\n"
 _EMPTY = np.int64(-1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -398,10 +397,10 @@ def deep_symbols(codes: np.ndarray) -> np.ndarray:
 
 
 def deep_states(training: DataFrame, alphabet: Broadcast, tree: Broadcast, n_all: int, *, min_deep: int, divergence: float, discount: float) -> DataFrame:
-    """(ctx, sym, delta, total): the deep states' listed followers with what
-    log10 their probability is above all unlisted ones' change, and one row
-    OTHER a state with that change. Contexts of a text's start alone are left
-    to the first kind."""
+    """(ctx, total, rest, listed): a row for each deep state, with what log10
+    all unlisted followers' probability changes by and, for each listed one,
+    what it changes by above that. Contexts of a text's start alone are left to
+    the first kind."""
 
     bits = max(6, min(BLOOM, (n_all // PART).bit_length()))  # parts of about PART contexts at any size
     rest_bits = np.uint64(32 - (BLOOM - bits))
@@ -442,16 +441,20 @@ def deep_states(training: DataFrame, alphabet: Broadcast, tree: Broadcast, n_all
             packed = (sym[first] + 4096 << 36) | (np.minimum(cost[first] * 256, 4095).astype(np.int64) << 24) | n
             yield pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(packed)], names=["ctx", "packed"])
 
+    # dealt by context once: the followers, the verdict on the context and its list are found where it lies
     grams = training.select("codes").mapInArrow(count, "ctx long, packed long").repartition("ctx")
     each = grams.select("ctx", (F.shiftright("packed", 36) - 4096).cast("int").alias("sym"), F.shiftright("packed", 24).bitwiseAND(F.lit(4095)).alias("cost"), F.col("packed").bitwiseAND(F.lit((1 << 24) - 1)).alias("n"))
-    counted = materialize(each.groupBy("ctx", "sym").agg(F.sum("n").alias("n"), F.min("cost").alias("cost")))
-    log_p = -F.col("cost") / 256
-    own = F.sum(F.col("n") * (F.log("n") - log_p * math.log(10)))
-    states = counted.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), own.alias("own")).filter(F.col("total") >= min_deep)
-    states = states.filter(F.col("own") - F.col("total") * F.log("total") >= divergence).drop("own")
-    rest = F.lit(discount) * F.col("kinds") / F.col("total")
-    listed = counted.join(states, "ctx").select("ctx", "sym", (F.log10((F.col("n") - discount) / F.col("total") + rest * F.pow(F.lit(10.0), log_p)) - log_p - F.log10(rest)).alias("delta"), "total")
-    return listed.unionByName(states.select("ctx", F.lit(OTHER).alias("sym"), F.log10(rest).alias("delta"), "total"))
+    counted = each.groupBy("ctx", "sym").agg(F.sum("n").alias("n"), F.min("cost").alias("cost"))
+    own = F.sum(F.col("n") * (F.log("n") + F.col("cost") / 256 * math.log(10)))
+    states = counted.groupBy("ctx").agg(F.sum("n").alias("total"), own.alias("own"), F.collect_list(F.struct("sym", "n", "cost")).alias("after")).filter(F.col("total") >= min_deep)
+    states = states.filter(F.col("own") - F.col("total") * F.log("total") >= divergence)
+    rest = F.lit(discount) * F.size("after") / F.col("total")
+
+    def delta(x):
+        log_p = -x.cost / 256
+        return F.log10((x.n - discount) / F.col("total") + rest * F.pow(F.lit(10.0), log_p)) - log_p - F.log10(rest)
+
+    return states.select("ctx", "total", F.log10(rest).alias("rest"), F.map_from_entries(F.transform("after", lambda x: F.struct(x.sym, delta(x)))).alias("listed"))
 
 
 def deep_changes(encoded: DataFrame, alphabet: Broadcast, states: DataFrame, n_all: int) -> DataFrame:
@@ -460,10 +463,8 @@ def deep_changes(encoded: DataFrame, alphabet: Broadcast, states: DataFrame, n_a
     brings its followers along, of which there are at most HEAD and CLASSES."""
     spark = encoded.sparkSession
     least = max(2, n_all // HOT)
-    other = F.col("sym") == OTHER
-    bundles = states.groupBy("ctx").agg(F.max(F.when(other, F.col("total"))).alias("total"), F.max(F.when(other, F.col("delta"))).alias("rest"), F.map_from_entries(F.collect_list(F.when(~other, F.struct("sym", "delta")))).alias("listed"))
-    hot = states.filter(other & (F.col("total") > least)).select("ctx").toArrow().column("ctx").to_numpy()  # at most HOT
-    sent = share(spark, (flag_table(states.filter(other).select(F.shiftrightunsigned("ctx", 64 - BLOOM).alias("place")), BLOOM), np.sort(hot)))
+    hot = states.filter(F.col("total") > least).select("ctx").toArrow().column("ctx").to_numpy()  # at most HOT
+    sent = share(spark, (flag_table(states.select(F.shiftrightunsigned("ctx", 64 - BLOOM).alias("place")), BLOOM), np.sort(hot)))
 
     def find(batches):
         flags, often = shared(sent)
@@ -480,7 +481,7 @@ def deep_changes(encoded: DataFrame, alphabet: Broadcast, states: DataFrame, n_a
 
     hits = encoded.select("row", "codes").mapInArrow(find, "row long, ctx long, sym int, salt int")
     salts = F.when(F.col("total") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = bundles.select("ctx", "rest", "listed", F.explode(salts).alias("salt"))
+    dealt = states.select("ctx", "rest", "listed", F.explode(salts).alias("salt"))
     delta = F.col("rest") + F.coalesce(F.try_element_at("listed", F.col("sym")), F.lit(0.0))
     return hits.join(dealt, ["ctx", "salt"]).select("row", delta.alias("delta"))
 
