@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+ROWS = 1_000_000  # postings that one task sorts and writes, about
 
 
 def _groups(text: Column, n: int) -> Column:
@@ -32,10 +33,18 @@ def postings(items: DataFrame, *texts: Column, buckets: int = BUCKETS) -> DataFr
     return items.select("id", F.explode(groups).alias("letters")).select("letters", "id", _bucket(F.col("letters"), buckets).alias("bucket"))
 
 
-def write_index(items: DataFrame, path: str, *texts: Column, buckets: int = BUCKETS) -> None:
-    """Replace the index at path by one of items(id, ...) over the texts."""
+def write_index(items: DataFrame, path: str, *texts: Column, buckets: int = BUCKETS, rows_a_task: int = ROWS) -> None:
+    """Replace the index at path by one of items(id, ...) over the texts. A
+    group that most items have fills its bucket, so a bucket of more than
+    `rows_a_task` postings is dealt by id into parts, each a file."""
     rows = postings(items, *texts, buckets=buckets)
-    rows.repartition("bucket").sortWithinPartitions("bucket", "letters").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    sizes = rows.groupBy("bucket").count().collect()  # at most a row a bucket
+    parts = {r["bucket"]: -(-r["count"] // rows_a_task) for r in sizes if r["count"] > rows_a_task}
+    spread = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("bucket")] if parts else F.lit(1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(spread, F.lit(1))))
+    # so many tasks that each gets about one part of a large bucket
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sum(parts.values()))
+    rows.repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "letters").drop("part").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def candidates(spark: SparkSession, path: str, text: str, buckets: int = BUCKETS) -> DataFrame:
