@@ -123,3 +123,30 @@ def test_learning_from_a_gazetteer(spark):
 @pytest.mark.parametrize("text", ["", " \n", "...", "x", "a" * 300_000, "ß퟿🙂 É."])
 def test_odd_texts(text):
     assert tagger.spans_of(text, tagger.Weights()) == []
+
+
+def test_many_texts_are_tagged_as_each_alone():
+    """Features, paths and spans of a batch are those of one sentence after the other."""
+    rng = np.random.default_rng(8)
+    words = ["Ann", "ann", "<", "s", ">", "</s>", "İpek", "ß", "met", "Pune", "9876", "x_1", ".", "MacLeod", "東京"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 14))) + rng.choice(["", ". Then\n\nhe left!", " \n"]) for _ in range(300)] + ["", " "]
+    lists = [[t[a:b] for a, b in tagger.tokens(t)] for t in texts]
+    assert (tagger.features_of(lists) == np.concatenate([tagger.features(w) for w in lists])).all()
+    sizes = np.array([len(w) for w in lists])
+    # whole numbers: ties are met too
+    scores, step = rng.integers(-2, 3, size=(sizes.sum(), len(tagger.TAGS))).astype(float), rng.integers(-1, 2, size=(len(tagger.TAGS),) * 2).astype(float)
+    one_by_one = [tagger.viterbi(x, step) for x in np.split(scores, np.cumsum(sizes)[:-1])]
+    assert tagger.viterbi_of(scores, sizes, step).tolist() == sum(one_by_one, [])
+    weights = tagger.Weights(rng.normal(size=(1 << tagger.BITS, len(tagger.TAGS))), step)
+    assert tagger.spans_of_texts(texts, weights) == [tagger.spans_of(t, weights) for t in texts]
+
+
+def test_documents_with_names_are_counted_once(spark, monkeypatch):
+    """Places are looked for in the drawn documents alone, by lists and by shards."""
+    docs = spark.createDataFrame([(k, f"Ann Lee met nobody {k}" if k % 4 else None if k % 8 else "no one") for k in range(400)], "doc_id long, text string")
+    listed = spark.createDataFrame([("PERSON", "ann lee"), ("PERSON", "Lee"), ("PERSON", None)], "type string, name string")
+    assert names.count_named(docs, listed) == names.count_named(docs, listed, shard_bytes=4) == 300
+    read, found = [], names.find_names
+    monkeypatch.setattr(names, "find_names", lambda d, *a, **k: read.append(d.count()) or found(d, *a, **k))
+    extract.learn_names(docs, listed, most_documents=60, rounds=1)
+    assert 0 < sum(read) < 200
