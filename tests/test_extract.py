@@ -150,3 +150,12 @@ def test_evidence_is_the_mentions_own(spark):
     rows = [("d1", "PERSON", "Rahul Sharma"), ("d1", "PHONE", "+911"), ("d2", "PERSON", "Rahul Sharmaa"), ("d2", "PHONE", "+911"), ("d3", "PERSON", "Rahul Sharmaa"), ("d4", "PERSON", "Rahul Sharmaa"), ("d4", "PHONE", "+911")]
     got = {r.seq: (r.canonical_id, r.resolution_method[0]) for r in resolve.resolve_mentions(said(spark, rows))[0].collect()}
     assert got[2] == ("person_001", "name_similarity") and got[4] == ("person_002", "new_entity") and got[5] == ("person_002", "exact_match")
+
+
+def test_mentions_after_their_entity_are_not_judged_again(spark, monkeypatch):
+    """A wave judges names' first mentions and open ones, however often a name is said."""
+    rows = [(f"d{k:02d}", *x) for k in range(30) for x in (("PERSON", "Rahul Sharma" if k != 4 else "Rahul Sharmaa"), ("PHONE", "+911"))]
+    judged, judge = [], resolve._judged
+    monkeypatch.setattr(resolve, "_judged", lambda rest, *a: judged.append(rest.count()) or judge(rest, *a))
+    got = {r.seq: r.canonical_id for r in resolve.resolve_mentions(said(spark, rows))[0].collect()}
+    assert max(judged) == 2 and {got[2 * k] for k in range(30)} == {"person_001"}
