@@ -1,7 +1,7 @@
 """Near copies by SimHash: wide fingerprints, bands of their bits, exact check.
 
-A text is the set of its shingles (48 bits of XXH64 each); texts of equal sets
-are one node. A node's fingerprint has BITS bits, each the majority over its
+A text is the set of its shingles (48 bits each, mixed from hashes of
+their words); texts of equal sets are one node. A node's fingerprint has BITS bits, each the majority over its
 shingles of one bit of their hashes. Two sets of similarity 0.8 differ in a share
 of 0.15 of the bits (arc cosine of 8/9, over pi), unlike ones in half. Nodes that
 agree in all `k` bits of a band meet, and are candidates if their first CHECK bits
@@ -45,7 +45,7 @@ from inquiro.operators.stars import components
 SHINGLE, SIMILARITY, SEED, TILE = 5, 0.8, 42, 512
 BITS, CHECK, NEAR, BUCKET, MISS, SHARE = 512, 128, 38, 256, 1e-4, 0.16  # SHARE of bits that a pair at the radius may differ in
 FIRST = 4  # bands whose links are joined before the others are compared
-_BLOCK = 1 << 13  # shingles whose bits are counted at once
+_BLOCK, _LANE, _RUNS = 1 << 13, 255, 1 << 12  # shingles whose bits are counted at once; most that a lane of 8 bits counts; sets that are counted at once
 _COLUMNS = 8192  # shingles compared at once
 
 
@@ -56,32 +56,84 @@ def shingle_hashes(words: list[bytes], size: int) -> list[int]:
     return [xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), seed=SEED) for i in range(len(words) - size + 1)]
 
 
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+_ODD, _OF_BYTE = 0x9E3779B97F4A7C15, np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, in their order, and how many each text
+    has. A word's hash is mixed from the sum of its bytes' numbers times powers
+    of an odd number, by sums that run over all bytes."""
+    data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    power = np.full(len(data), _ODD, dtype=np.uint64)
+    power[0] = 1
+    below = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_OF_BYTE[data] * np.multiply.accumulate(power), out=below[1:])
+    power[1:] = pow(_ODD, -1, 1 << 64)
+    own = (below[ends] - below[starts]) * np.multiply.accumulate(power)[starts]
+    places = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return _mixed(own), np.diff(np.searchsorted(starts, places))
+
+
 def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], pa.Array]:
-    """The sorted shingle set of each text, and a hash of each set."""
-    sets = [np.unique(np.array(shingle_hashes(t.lower().split(), size), dtype="<u8") >> np.uint64(16)) for t in as_bytes(batch)]
+    """The sorted shingle set of each text, and a hash of each set. Words are
+    hashed, and shingles mixed from them, for all texts of the batch at once."""
+    flat, sizes = _word_hashes(as_bytes(batch))
+    made = np.zeros(max(0, len(flat) - size + 1), dtype=np.uint64)
+    for i in range(size):
+        made = made * np.uint64(_ODD) + flat[i : i + len(made)]
+    made = _mixed(made) >> np.uint64(16)
+    sets, at = [], 0
+    for n in sizes.tolist():
+        if n >= size:
+            own = np.sort(made[at : at + n - size + 1])
+            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            sets.append(np.array([xxhash.xxh64_intdigest(flat[at : at + n].tobytes(), seed=SEED)] if n else [], dtype=np.uint64) >> np.uint64(16))
+        at += n
     return sets, pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], dtype="<u8").view(np.int64))
 
 
+#: The bits of a byte, each in a lane of 8 bits of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _spread_bits(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits of each shingle, in bytes."""
+    flips = np.random.default_rng(SEED).integers(1, 1 << 63, BITS // 64, dtype=np.uint64)
+    return _mixed(shingles[:, None] ^ flips).astype("<u8", copy=False).view(np.uint8)
+
+
 def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     """BITS bits of each set, packed; no set may be empty. The least shingle
-    decides ties."""
-    rng = np.random.default_rng(SEED)
-    flips = rng.integers(1, 1 << 63, BITS // 64, dtype=np.uint64)
-    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    votes, first = np.zeros((len(sets), BITS), dtype=np.int64), np.zeros((len(sets), BITS), dtype=np.uint8)
-    for low in range(0, len(flat), _BLOCK):
-        high = min(low + _BLOCK, len(flat))
-        x = flat[low:high, None] ^ flips
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
-        runs = np.flatnonzero((ends > low) & (starts < high))
-        votes[runs] += np.add.reduceat(bits, np.maximum(starts[runs] - low, 0), axis=0, dtype=np.int32)
-        begun = runs[starts[runs] >= low]
-        first[begun] = bits[starts[begun] - low]
-    return np.packbits(2 * votes + first > sizes[:, None], axis=1, bitorder="little")
+    decides ties. Bits are counted eight at a time, in the lanes of one number,
+    over stretches that a lane can count."""
+    out = []
+    for low in range(0, len(sets), _RUNS):
+        some = sets[low : low + _RUNS]
+        flat, sizes = np.concatenate(some), np.array([len(s) for s in some], dtype=np.int64)
+        ends, parts = np.cumsum(sizes), -(-sizes // _LANE)
+        of = np.repeat(np.arange(len(some)), parts)  # the set of each stretch
+        starts = (ends - sizes)[of] + _LANE * (np.arange(len(of)) - (np.cumsum(parts) - parts)[of])
+        stops = np.append(starts[1:], len(flat))
+        votes, i = np.zeros((len(some), BITS), dtype=np.int64), 0
+        while i < len(of):
+            j = max(i + 1, int(np.searchsorted(stops, starts[i] + _BLOCK, side="right")))
+            lanes = np.add.reduceat(_LANES[_spread_bits(flat[starts[i] : stops[j - 1]])], starts[i:j] - starts[i], axis=0)
+            begun = np.flatnonzero(np.diff(of[i:j], prepend=-1))
+            votes[of[i:j][begun]] += np.add.reduceat(lanes.view(np.uint8), begun, axis=0, dtype=np.int64)
+            i = j
+        first = np.unpackbits(_spread_bits(flat[ends - sizes]), axis=1, bitorder="little")
+        out.append(np.packbits(2 * votes + first > sizes[:, None], axis=1, bitorder="little"))
+    return np.concatenate(out) if out else np.zeros((0, BITS // 8), np.uint8)
 
 
 def bands_of(nodes: int) -> np.ndarray:
